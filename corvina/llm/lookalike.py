@@ -79,7 +79,7 @@ def _scripts(letter: str) -> frozenset[str]:
 @lru_cache(maxsize=65536)
 def _styled(c: str) -> bool:
     kind = ud.decomposition(c).split(" ", 1)[0]
-    return kind in STYLED and c not in PLAIN_SIGNS
+    return kind in STYLED and c not in PLAIN_SIGNS and c not in TO["Latin"]
 
 
 #: A text without any of these is already in the consistent form. A joiner or selector right after a picture is left to the
