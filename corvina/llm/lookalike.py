@@ -99,6 +99,12 @@ def _script_of_text(text: str) -> str | None:
     return best if n[best] else None
 
 
+def _drawn(c: str, script: str) -> str | None:
+    """The letter of a script drawn like c; a small letter without one takes the small form of its capital's."""
+    to = TO[script]
+    return to.get(c) or (to[c.upper()].lower() if c.upper() in to else None)
+
+
 def spell(word: str) -> tuple[str, bool]:
     """The word in one script, and whether it mixed scripts. Between equal choices the order of MIXABLE decides."""
     letters = [c for c in word if _LETTER.match(c)]
@@ -112,7 +118,7 @@ def spell(word: str) -> tuple[str, bool]:
     cost = {}
     for s in TO:
         foreign = [c for c in letters if s not in _scripts(c)]
-        if all(c in TO[s] for c in foreign):
+        if all(_drawn(c, s) for c in foreign):
             cost[s] = len(foreign)
     if not cost:
         # No script can spell the whole word: the one most letters belong to takes what it can.
@@ -120,7 +126,7 @@ def spell(word: str) -> tuple[str, bool]:
         s = max(n, key=n.get)
     else:
         s = min(cost, key=lambda k: (cost[k], list(TO).index(k)))
-    return "".join(c if s in _scripts(c) else TO[s].get(c, c) for c in word), True
+    return "".join(c if s in _scripts(c) else _drawn(c, s) or c for c in word), True
 
 
 def canonical(text: str | None) -> tuple[str | None, int]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm.catalogue import same_items
 from corvina.llm.components import connected_components
 from corvina.llm.lookalike import normalize_lookalikes
+from corvina.llm.mapping import NO_MATCH, map_rows
 from corvina.llm.neardup import near_duplicate_groups
 from corvina.operators.latest import latest_per_key
 from corvina.session import cut, table
@@ -16,6 +18,21 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return latest_per_key(table(spark, d, "social_posts").where("id is not null"), ["id"], ["updated_at"], ["caption"])
 
 
+def _listings(spark: SparkSession, d: str) -> DataFrame:
+    return latest_per_key(table(spark, d, "products").where("id is not null"), ["id"], ["updated_at"], ["brand", "product_name", "normalized_brand", "normalized_product_name", "identity_key"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "social_post_products").select(F.lit("social_post_products").alias("table_name"), F.col("id").alias("record_id"), F.col("extracted_brand").alias("brand"), F.col("extracted_product_name").alias("name")).distinct()
+    listed = _listings(spark, d).select(F.lit("products").alias("table_name"), F.col("id").alias("record_id"), F.col("normalized_brand").alias("brand"), F.col("normalized_product_name").alias("name"))
+    return map_rows(typed.unionByName(listed), ["table_name", "record_id"], "brand", "name", table(spark, d, "catalog_reference"), "ref_id", "brand", "product_name")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Per table how many rows have an entry and how many have none."""
+    return p1_found(spark, d).groupBy("table_name").agg(F.count_if(F.col("ref_id") != NO_MATCH).alias("matched"), F.count_if(F.col("ref_id") == NO_MATCH).alias("unmatched"))
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     """Both fields of problem 2 as table_name, record_id, text; each distinct row once."""
     posts = table(spark, d, "social_posts").select(F.lit("social_posts").alias("table_name"), F.col("id").alias("record_id"), F.col("caption").alias("text"), "updated_at")
@@ -46,7 +63,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(table(spark, d, "social_post_matches"), "post_id_a", "post_id_b").select(F.col("id").alias("post_id"), "group_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found}
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return same_items(_listings(spark, d), "id", "brand", "product_name", table(spark, d, "catalog_reference").select("brand", "product_name"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs within an item, as the query is defined; p7_groups is the form that does not grow with a group's square."""
+    g = p7_groups(spark, d)
+    g = cut(g.join(g.groupBy("group_id").count().where("count > 1").select("group_id"), "group_id", "left_semi"))
+    return g.select("group_id", F.col("id").alias("product_id_a")).join(g.select("group_id", F.col("id").alias("product_id_b")), "group_id").where("product_id_a < product_id_b").select("product_id_a", "product_id_b")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_found": p7_found, "p7_groups": p7_groups,
+    "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found}
 SQL = {
     "p5_found": """
 with recursive e as (
