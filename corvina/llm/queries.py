@@ -10,6 +10,7 @@ from corvina.llm.components import connected_components
 from corvina.llm.lookalike import normalize_lookalikes
 from corvina.llm.mapping import NO_MATCH, map_rows
 from corvina.llm.neardup import near_duplicate_groups
+from corvina.llm.pii import find_personal, redact_personal
 from corvina.operators.latest import latest_per_key
 from corvina.session import cut, table
 
@@ -63,6 +64,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(table(spark, d, "social_post_matches"), "post_id_a", "post_id_b").select(F.col("id").alias("post_id"), "group_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "raw_post_metadata").select("row_id", "description")
+    return find_personal(posts, "row_id", "description", table(spark, d, "given_names")).select("row_id", "start_pos", "end_pos", "pii_type").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_personal(table(spark, d, "raw_post_metadata").select("row_id", "description"), "row_id", "description", table(spark, d, "given_names"))
+
+
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return same_items(_listings(spark, d), "id", "brand", "product_name", table(spark, d, "catalog_reference").select("brand", "product_name"))
 
@@ -75,6 +85,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found, "p6_redacted": p6_redacted,
     "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_found": p7_found, "p7_groups": p7_groups,
     "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found}
 SQL = {
