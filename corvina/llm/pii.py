@@ -34,7 +34,7 @@ _PHONE_GROUPS = {(10,), (3, 3, 4), (3, 3, 2, 2), (3, 7), (4, 3, 3), (4, 6), (2,
 _ID_GROUPS = {(11,), (3, 3, 3, 2), (2, 3, 3, 3), (3, 4, 4), (1, 3, 3, 4), (5, 6), (4, 4, 3)}
 # Words beside a number.
 _FOR_ID = re.compile(r"kimlik|t\.?\s?c\.?\s?(?:k|no|$)|tckn|\bssn\b|social security|\bnino?\b|national insurance|\bid\s*(?:no|number|nr)|ausweis|steuer-?id|passport|pasaport|vatandaş", re.I)
-_FOR_PHONE = re.compile(r"\btel\b|telefon|phone|\bcall\b|\btext\b|\bfax\b|whats?app|randevu|numara|ara(?:yın|yabilir)|hatt|\bgsm\b|\bcep\b|anruf|mobil|ulaş|iletişim", re.I)
+_FOR_PHONE = re.compile(r"\btel\b|telefon|phone|\bcall\b|\btext\b|\bfax\b|whats?app|randevu|(?<!kimlik )numara|ara(?:yın|yabilir)|hatt|\bgsm\b|\bcep\b|anruf|mobil|ulaş|iletişim", re.I)
 _AGAINST = re.compile(r"sipariş|order|barkod|barcode|\bean\b|\blot\b|kargo|takip no|tracking|stok|fiyat|price|\bkod\b|\bcode\b|seri|bölüm|son kullanma|iban|€|\bTL\b", re.I)
 
 # ---- street addresses
@@ -54,7 +54,7 @@ _BEFORE = re.compile(r"(?:\badım|\bben|\bbu videoyu|\bfotoğraf için|\bfotoğr
 _AFTER = re.compile(r"^(?:['’]\w+)?\s*(?:,\s*)?(?:hanım|bey\b|ile (?:birlikte|canlı)|kazandı|and this is my|yıllardır|schreibt|\(|tel\b|['’](?:a|e|ya|ye|ın|in|ı|i|la|le)\b)", re.I)
 _TITLE = re.compile(r"(?:\b(?:dr|prof|doç|av|uzm|op|dt|ecz|mr|mrs|ms|herr|frau|sayın|sn)\.?\s*)+$", re.I)
 _FAMILY = re.compile(r"(?:oğlu|oglu|soy|gil|man|han|ler|lar|er|sen|son|berg|well|ova|ov|kan|türk|stein|mann|ski|feer|kaya|demir|ton|ford)$", re.I)
-_PRODUCT_AFTER = re.compile(r"^\s*(?:ruj|palet|serum|blush|krem|toner|tonik|maske|maskara|far|set|jel|paleti|koleksiyon)", re.I)
+_PRODUCT_AFTER = re.compile(r"^\s*(?:ruj|palet|serum|blush|krem|toner|tonik|maske|maskara|far|set|jel|paleti|koleksiyonu?)(?!\w)", re.I)
 _NAME = re.compile(r"(?<![\w@#.＠])(?:[^\W\d_]{2,}|[^\W\d_]\.)(?: [^\W\d_]{2,}){1,2}(?![\w@])")
 
 
