@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from corvina.llm.catalogue import same_items
 from corvina.llm.components import connected_components
+from corvina.llm.leakage import find_leaks
 from corvina.llm.lookalike import normalize_lookalikes
 from corvina.llm.mapping import NO_MATCH, map_rows
+from corvina.llm.mixing import mix, mix_report
 from corvina.llm.neardup import near_duplicate_groups
 from corvina.llm.pii import find_personal, redact_personal
+from corvina.llm.sentences import split_sentences
 from corvina.operators.latest import latest_per_key
 from corvina.session import cut, table
 
@@ -84,7 +87,34 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return g.select("group_id", F.col("id").alias("product_id_a")).join(g.select("group_id", F.col("id").alias("product_id_b")), "group_id").where("product_id_a < product_id_b").select("product_id_a", "product_id_b")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item in how many documents it stands."""
+    found = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return table(spark, d, "eval_items").select("item_id", "suite", "lang").join(found, "item_id")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p9_mix(spark, d), "source", table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", with_text=False)
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
+    "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_sentences": p10_sentences,
     "p6_found": p6_found, "p6_redacted": p6_redacted,
     "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_found": p7_found, "p7_groups": p7_groups,
     "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found}
