@@ -112,11 +112,10 @@ class ItemIndex:
         hit: set[int] = set()
         for a in range(0, max(1, len(ws) - self.window + 1), step):
             if any(known[a : a + PASSAGE]):
-                hit.update(self.retrieve(set(ws[a : a + PASSAGE])))
-        if not hit:
-            return []
-        letters = "".join(ws)
-        return [self.ids[k] for k in sorted(hit) if any(r in letters for r in self.runs[k])]
+                passage = ws[a : a + PASSAGE]
+                letters = "".join(passage)
+                hit.update(k for k in self.retrieve(set(passage)) if k not in hit and any(r in letters for r in self.runs[k]))
+        return [self.ids[k] for k in sorted(hit)]
 
 
 def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW) -> DataFrame:

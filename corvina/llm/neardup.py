@@ -134,11 +134,13 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, wide: int = WIDE) -> DataFrame:
     """One row per record of at least least_words distinct words: key, group_id (least key of its group), links.
 
-    links: verified links to other word sets, plus records of the same set. Records with fewer words, null or empty text are
-    not in the result. key must be unique (a long); records of the same key would be one record more than once.
+    links: verified links to other word sets, plus records of the same set. Records with fewer words, null or empty text or
+    a null key are not in the result. A repeated row counts once; a key (a long) with different texts is a record in the
+    groups of each. Groups do not depend on the order of rows. Other columns are ignored, whatever their names.
     """
-    sets = word_sets(df, key, text).where(F.size("words") >= least_words).select(F.col(key).alias("id"), "words")
-    sets = cut(sets.withColumn("same", F.xxhash64("words", F.lit(17))))
+    records = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    sets = word_sets(records, "id", "text").where(F.size("words") >= least_words)
+    sets = cut(sets.withColumn("same", F.xxhash64("words", F.lit(17))).dropDuplicates(["id", "same"]))
     classes = sets.groupBy("same", "words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = cut(classes)
     reps = classes.select(F.col("rep").alias("id"), "words")

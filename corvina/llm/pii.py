@@ -8,6 +8,7 @@ the higher score wins, then the longer, then the earlier.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -38,7 +39,7 @@ _FOR_PHONE = re.compile(r"\btel\b|telefon|phone|\bcall\b|\btext\b|\bfax\b|whats?
 _AGAINST = re.compile(r"sipariş|order|barkod|barcode|\bean\b|\blot\b|kargo|takip no|tracking|stok|fiyat|price|\bkod\b|\bcode\b|seri|bölüm|son kullanma|iban|€|\bTL\b", re.I)
 
 # ---- street addresses
-_W = r"[^\W\d_][\w'’-]*"
+_W = r"[^\W\d_][\w'’-]{0,60}"
 _STREET = r"(?:caddesi|cadde|cad\.?|cd\.?|sokağı|sokak|sok\.?|sk\.?|bulvarı|bulvar|blv\.?|bul\.?|mahallesi|mahalle|mah\.?|mh\.?|meydanı|yolu)"
 _DOOR = r"(?:no[^\S\n]?[:.]?[^\S\n]?\d+(?:[^\S\n]?/[^\S\n]?\d+)?\w?|(?:d|daire|kat|k|apt|blok)[^\S\n]?[:.]?[^\S\n]?\d+\w?|\d+(?:/\d+)?[a-z]?)"
 _TOWN = rf"(?:\d{{5}}[^\S\n]+{_W}(?:[^\S\n]?/[^\S\n]?{_W})?|{_W}[^\S\n]+\d{{5}}|{_W}[^\S\n]?/[^\S\n]?{_W}|{_W})"
@@ -95,11 +96,12 @@ class Finder:
         if not text:
             return []
         got = [*self._emails(text), *self._numbers(text), *self._addresses(text), *self._names(text)]
-        kept: list[tuple[int, int, str, float]] = []
+        kept: list[tuple[int, int, str, float]] = []  # in order of place
         for s in sorted((g for g in got if g[3] >= ACCEPT), key=lambda g: (-g[3], g[0] - g[1], g[0])):
-            if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-                kept.append(s)
-        return sorted(kept)
+            i = bisect_left(kept, s)
+            if (i == 0 or kept[i - 1][1] <= s[0]) and (i == len(kept) or kept[i][0] >= s[1]):
+                kept.insert(i, s)
+        return kept
 
     @staticmethod
     def _emails(text: str):

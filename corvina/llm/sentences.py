@@ -43,6 +43,10 @@ _WORD_BEFORE = regex.compile(r"(?:\d+(?:[.,]\d+)+|[\p{L}\p{M}\p{N}.№]+)$")
 _THAI = regex.compile(r"\p{Thai}")
 
 
+#: How far back a stop looks: longer runs of letters are no abbreviation.
+WORD = 60
+
+
 def _closes(opened: str, c: str) -> bool:
     return c in OPENING[opened]
 
@@ -52,10 +56,17 @@ class _Line:
 
     def __init__(self, text: str, a: int, b: int, lower: bool):
         self.text, self.a, self.b, self.lower = text, a, b, lower
+        self.last: dict[str, int] = {}  # where each closing stands last on the line
+
+    def _first(self, at: int) -> int:
+        while at < self.b and self.text[at].isspace():
+            at += 1
+        return at
 
     def split(self) -> Iterator[tuple[int, int]]:
         text, b = self.text, self.b
         start = self.a
+        first = self._first(start)  # where the sentence's first character is
         opened: list[tuple[str, bool]] = []  # what is open, and whether it began the sentence
         skip = self.a
         for m in _TOKEN.finditer(text, self.a, b):
@@ -66,12 +77,13 @@ class _Line:
                 if not opened:
                     yield start, m.start()
                     start = skip = m.end()
+                    first = self._first(start)
                 continue
             if not _MARKS.match(t):
                 if opened and _closes(opened[-1][0], t):
                     opened.pop()
                 elif t in OPENING and self._is_closed(t, m.end()):
-                    opened.append((t, not text[start : m.start()].strip()))
+                    opened.append((t, m.start() <= first))
                 continue
             end, outer = m.end(), None
             while end < b:
@@ -101,10 +113,14 @@ class _Line:
                 end = u.end() if u else end
             yield start, end
             start = skip = end
+            first = self._first(start)
         yield start, b
 
     def _is_closed(self, c: str, at: int) -> bool:
-        return any(self.text.find(x, at, self.b) >= 0 for x in OPENING[c])
+        for x in OPENING[c]:
+            if x not in self.last:
+                self.last[x] = self.text.rfind(x, self.a, self.b)
+        return any(self.last[x] >= at for x in OPENING[c])
 
     def _next(self, at: int) -> str:
         """The next character that is not blank, unseen or a picture."""
@@ -163,12 +179,12 @@ class _Line:
     def _stop_ends(self, start: int, at: int, end: int, c: str) -> bool:
         if c in ",;:)-–—" and c != "—":
             return False
-        m = _WORD_BEFORE.search(self.text, start, at)
+        m = _WORD_BEFORE.search(self.text, max(start, at - WORD), at)
         if not m:
             return True
         word = _UNSEEN.sub("", m[0])
         low = word.replace("İ", "i").lower()
-        before = self.text[start : m.start()].rstrip()
+        before = self.text[max(start, m.start() - WORD) : m.start()].rstrip()
         previous = before.split()[-1].lower().strip(".,;:!?(“„«\"") if before else ""
         capital = c.isupper() and not self.lower
         if word.isdigit():
