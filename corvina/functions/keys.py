@@ -10,6 +10,7 @@ from corvina.functions.normalize import normalize
 # Words of no weight, types and strengths that must not differ, and other names of brands.
 NO_WEIGHT = ["and", "ve", "the"]
 PROTECTED = ["spf", "pa", "retinol", "niacinamide", "aha", "bha", "vitamin", "serum", "cream", "foundation", "concealer", "powder", "sunscreen", "toner", "shampoo", "mask", "matte", "glow", "oil", "gel", "lotion", "primer", "cleanser", "lipstick"]
+TYPE_NAMES = {"allik": "blush", "fondoten": "foundation", "kapatici": "concealer", "krem": "cream", "kremi": "cream", "maskara": "mascara", "ruj": "lipstick", "tonik": "toner", "esans": "essence", "esansi": "essence"}
 BRAND_NAMES = {"l oreal": "loreal", "l oreal paris": "loreal", "loreal paris": "loreal", "maybelline new york": "maybelline", "kiehl s": "kiehls", "the ordinary": "ordinary", "la roche posay": "larocheposay"}
 
 
@@ -37,12 +38,14 @@ def identity_key(brand: Column, name: Column) -> Column:
 
 
 def family_key(brand: Column, name: Column) -> Column:
-    """Brand and name without sizes and shade numbers: equal for the variants of a family."""
+    """Brand and name without sizes and shade numbers, types under one name: equal for the variants of a family."""
     n = normalize(name, "link")
     n = F.regexp_replace(n, "\\b\\d+(?:[.,]\\d+)?\\s*(?:ml|gr|g|gram|oz)\\b", " ")
     n = F.regexp_replace(n, "\\b(?:no|numara|numarasi|numarali|shade)\\s*#?\\d+(?:[.,]\\d+)?\\b", " ")
     n = F.regexp_replace(n, "\\b#?\\d+(?:[.,]\\d+)?\\s*(?:numara|numarasi|numarali|shade)\\b", " ")
     words = F.filter(F.split(F.trim(n), "\\s+"), lambda w: ~w.isin("", "numara", "numarasi", "numarali"))
+    types = F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv])
+    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(types, w), w))
     return F.concat(normalize(normalize(brand, "brand"), "link"), F.lit("::"), F.array_join(words, " "))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions.dates import dashed, shown, to_day
-from corvina.functions.keys import comparable_brand, feature_words, identity_key
+from corvina.functions.keys import TYPE_NAMES, comparable_brand, feature_words, identity_key
 from corvina.functions.links import canonical_url, domain, in_domain, merchant_name
 from corvina.functions.nested import richness
 from corvina.functions.normalize import normalize
@@ -347,7 +347,7 @@ _PAIRS = "e as (select least(post_id_a, post_id_b) a, greatest(post_id_a, post_i
 _WORDS = "list_filter(list_transform(regexp_extract_all({0}, '[a-z0-9]+'), lambda x: case when x = 'fondoten' then 'foundation' else x end), lambda x: x not in ('the', 'a', 'an'))"
 _N3 = "trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'))"
 _FAMILY = "regexp_replace(regexp_replace(regexp_replace({0}, '\\b\\d+(?:[.,]\\d+)?\\s*(?:ml|gr|g|gram|oz)\\b', ' ', 'g'), '\\b(?:no|numara|numarasi|numarali|shade)\\s*#?\\d+(?:[.,]\\d+)?\\b', ' ', 'g'), '\\b#?\\d+(?:[.,]\\d+)?\\s*(?:numara|numarasi|numarali|shade)\\b', ' ', 'g')"
-_LINK = "'^/(?:([A-Za-z0-9_.]+)/)?(reel|p)/([A-Za-z0-9_-]+)/?$'"
+_TYPES = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in TYPE_NAMES.items()) + "}"
 
 def _link(column: str) -> str:
     """Of a link: null if empty, else whether it is one of a post, the account and the code."""
@@ -385,7 +385,7 @@ SQL = {
     "f9_checked_metadata": f"with {_CHECKED} select row_id, influencer_slug, external_post_id, published_at, caption_sha256, reason from z",
     "f9_metadata_reasons": f"with {_CHECKED} select coalesce(reason, 'accepted') as reason, count(*) as n from z group by 1",
     "n1_normalized_names": f"with {P} select id, normalized_brand as brand_key, normalized_product_name as name_key, search_text as search_key from p",
-    "e7_families": f"with {P}, f as (select id, {_N3.format('normalized_brand')} || '::' || array_to_string(list_filter(string_split(trim(regexp_replace({_FAMILY.format(_N3.format('normalized_product_name'))}, '\\s+', ' ', 'g')), ' '), lambda x: x not in ('', 'numara', 'numarasi', 'numarali')), ' ') as family from p) select family, count(*) as members, min(id) as representative from f group by 1",
+    "e7_families": f"with {P}, f as (select id, {_N3.format('normalized_brand')} || '::' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({_FAMILY.format(_N3.format('normalized_product_name'))}, '\\s+', ' ', 'g')), ' '), lambda x: x not in ('', 'numara', 'numarasi', 'numarali')), lambda x: coalesce({_TYPES}[x], x)), ' ') as family from p) select family, count(*) as members, min(id) as representative from f group by 1",
     "g4_ranked_posts": f"with {S}, r as (select influencer_id, platform, id, {_DAY.format('published_at')} as day from s) select influencer_id, platform, id, day, substr(day, 9, 2) || '.' || substr(day, 6, 2) || '.' || substr(day, 1, 4) as shown from (select *, row_number() over (partition by influencer_id, platform order by day desc, id desc) rn from r) where rn <= 5",
     "g8_best_mentions": f"with {M} select social_post_id, candidate_key, id, status, confidence from (select *, row_number() over (partition by social_post_id, candidate_key order by case when status = 'approved' then 1 else 0 end desc, confidence desc, id) rn from m) where rn = 1",
     "g7_first_mentions": f"with {M}, r as (select distinct old_product_id, canonical_product_id from product_id_redirects), x as (select m.id, m.social_post_id, coalesce(r.canonical_product_id, m.product_id) as product_id from m left join r on r.old_product_id = m.product_id where m.product_id is not null) select product_id, social_post_id, min(id) as id from x group by 1, 2",
