@@ -28,7 +28,7 @@ _EMAIL = re.compile(rf"{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?![\w@])", re.I)
 _EMAIL_WORDS = re.compile(rf"{_LOCAL}\s(?:at|et)\s{_LABEL}(?:(?:\.|\s(?:dot|nokta|punkt)\s){_LABEL})*\s(?:dot|nokta|punkt)\s{_LABEL}(?![\w@])", re.I)
 
 # ---- numbers
-_NUMBER = re.compile(r"(?<![\w@.,:/#-])(?:\+\s?|\()?\(?\d(?:[^\S\n]?[()./-]?[^\S\n(]?\d){6,15}(?![\w@]|[.,:/-]\d)")
+_NUMBER = re.compile(r"(?<![\w@.,:/#-])(?:\+\s?|\()?\(?\d(?:(?:[^\S\n]|[./-]|[^\S\n]?\(|\)[^\S\n]?|\)[./-])?\d){6,17}(?![\w@]|[.,:/-]\d)")
 _NINO = re.compile(r"(?<!\w)[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?!\w)", re.I)
 # Groupings of ten digits without a prefix that are written for phones, and of identity numbers.
 _PHONE_GROUPS = {(10,), (3, 3, 4), (3, 3, 2, 2), (3, 7), (4, 3, 3), (4, 6), (2, 4, 4)}
@@ -51,7 +51,7 @@ _ADDRESS = [
 
 # ---- names
 # Phrases before a name, phrases after one, titles, and usual endings of family names.
-_BEFORE = re.compile(r"(?:\badım|\bben|\bbu videoyu|\bfotoğraf için|\bfotoğraf|\bkurgu|\bçekim|\bmy name is|\bi am|\bphoto(?:graphy)? by|\bhair by|\bmake-?up by|\bfilmed by|\bmakyaj|\bsaç|\bsevgiyle|\bsevgiler|\bteşekkürler|\bthanks to|\bcontact|\bçekilişi|\balıcı|\byaşarsanız|\bmein name ist|\bich bin|\bfoto|\bgönderen|\byetkili|\blove|\bregards)\s*[:,]?\s*$", re.I)
+_BEFORE = re.compile(r"(?:\badım|\bben|\bbu videoyu|\bfotoğraf için|\bfotoğraf|\bkurgu|\bçekim|\bmy name is|\bi am|\bphoto(?:graphy)? by|\bhair by|\bmake-?up by|\bfilmed by|(?<![#@])\b(?:makyaj|saç|foto)(?=:)|\bsevgiyle|\bsevgiler|\bteşekkürler|\bthanks to|\bcontact|\bçekilişi|\balıcı|\byaşarsanız|\bmein name ist|\bich bin|\bgönderen|\byetkili|\blove|\bregards)\s*[:,]?\s*$", re.I)
 _AFTER = re.compile(r"^(?:['’]\w+)?\s*(?:,\s*)?(?:hanım|bey\b|ile (?:birlikte|canlı)|kazandı|and this is my|yıllardır|schreibt|\(|tel\b|['’](?:a|e|ya|ye|ın|in|ı|i|la|le)\b)", re.I)
 _TITLE = re.compile(r"(?:\b(?:dr|prof|doç|av|uzm|op|dt|ecz|mr|mrs|ms|herr|frau|sayın|sn)\.?\s*)+$", re.I)
 _FAMILY = re.compile(r"(?:oğlu|oglu|soy|gil|man|han|ler|lar|er|sen|son|berg|well|ova|ov|kan|türk|stein|mann|ski|feer|kaya|demir|ton|ford)$", re.I)
@@ -117,42 +117,51 @@ class Finder:
             near = text[max(0, m.start() - 35) : m.start()]
             yield m.start(), m.end(), "national_id", 0.6 + 0.3 * bool(_FOR_ID.search(near))
         for m in _NUMBER.finditer(text):
-            start, end, raw = m.start(), m.end(), m[0]
-            if "(" in raw and ")" not in raw:
-                raw = raw[: raw.index("(")] if raw.index("(") > 0 else raw[1:]
-                start, end = (start, start + len(raw)) if m[0][0] != "(" else (start + 1, end)
-            digits = re.sub(r"\D", "", raw)
-            groups = tuple(map(len, re.findall(r"\d+", raw)))
-            before, after = text[max(0, start - 35) : start], text[end : end + 30]
-            last = before.rsplit("\n", 1)[-1]
-            # the nearest word before the number says most
-            at = {k: max((x.end() for x in p.finditer(last)), default=-1) for k, p in (("id", _FOR_ID), ("phone", _FOR_PHONE), ("against", _AGAINST))}
-            id_word = at["id"] > max(at["against"], at["phone"])
-            phone_word = at["phone"] > max(at["against"], at["id"]) or _FOR_PHONE.search(after.split("\n")[0])
-            against = at["against"] > max(at["id"], at["phone"], len(last) - 22)
-            n = len(digits)
-            as_id = as_phone = 0.0
-            if groups == (3, 2, 4):
-                as_id = 0.6
-            elif n == 11 and groups in _ID_GROUPS and "+" not in raw and "(" not in raw:
-                as_id = 0.45 if digits[0] != "0" else 0.2
-                as_id += 0.5 * valid_tckn(digits)
-            if raw.lstrip("(").startswith("+") and 9 <= n <= 15:
-                as_phone = 0.8
-            elif digits.startswith("00") and 12 <= n <= 15:
-                as_phone = 0.75
-            elif digits.startswith("0") and not digits.startswith("00") and 10 <= n <= 12:
-                as_phone = 0.6
-            elif n == 10 and groups in _PHONE_GROUPS and digits[0] in "2345678":
-                as_phone = 0.5
-            elif n == 7 and groups in {(3, 4), (3, 2, 2)}:
-                as_phone = 0.2
-            as_id += 0.4 * bool(id_word) * bool(as_id) - 0.5 * bool(against)
-            as_phone += 0.3 * bool(phone_word) * bool(as_phone) - 0.45 * bool(against) - 0.4 * bool(id_word)
-            if "." in raw and "," in raw or re.search(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}", raw) and n <= 8:
-                as_phone = 0.0
-            if as_id or as_phone:
-                yield start, end, *(("national_id", as_id) if as_id >= as_phone else ("phone", as_phone))
+            start, end = m.span()
+            # a number that follows after a blank may have been taken in: the longest beginning that is a number counts
+            while end > start:
+                got = Finder._number(text, start, end)
+                if got:
+                    yield got
+                    break
+                shorter = re.match(r"(.*\d)[^\S\n]\D*\d+$", text[start:end])
+                end = start + len(shorter[1]) if shorter else start
+
+    @staticmethod
+    def _number(text: str, start: int, end: int):
+        raw = text[start:end]
+        if "(" in raw and ")" not in raw:
+            if raw[0] != "(":
+                return None
+            raw, start = raw[1:], start + 1
+        digits = re.sub(r"\D", "", raw)
+        groups = tuple(map(len, re.findall(r"\d+", raw)))
+        last, after = text[max(0, start - 35) : start].rsplit("\n", 1)[-1], text[end : end + 30].split("\n")[0]
+        # the nearest word before the number says most
+        at = {k: max((x.end() for x in p.finditer(last)), default=-1) for k, p in (("id", _FOR_ID), ("phone", _FOR_PHONE), ("against", _AGAINST))}
+        id_word = at["id"] > max(at["against"], at["phone"])
+        phone_word = at["phone"] > max(at["against"], at["id"]) or bool(_FOR_PHONE.search(after))
+        against = at["against"] > max(at["id"], at["phone"], len(last) - 22)
+        n, as_id, as_phone = len(digits), 0.0, 0.0
+        if groups == (3, 2, 4):
+            as_id = 0.6
+        elif n == 11 and groups in _ID_GROUPS and "+" not in raw and "(" not in raw:
+            as_id = (0.45 if digits[0] != "0" else 0.2) + 0.5 * valid_tckn(digits)
+        if raw.lstrip("(").startswith("+") and 9 <= n <= 15:
+            as_phone = 0.8
+        elif digits.startswith("00") and 12 <= n <= 15:
+            as_phone = 0.75
+        elif digits.startswith("0") and not digits.startswith("00") and 10 <= n <= 12:
+            as_phone = 0.6
+        elif n == 10 and groups in _PHONE_GROUPS and digits[0] in "2345678":
+            as_phone = 0.5
+        elif n == 7 and groups in {(3, 4), (3, 2, 2)}:
+            as_phone = 0.2
+        as_id += 0.4 * id_word * bool(as_id) - 0.5 * against
+        as_phone += 0.3 * phone_word * bool(as_phone) - 0.45 * against - 0.4 * id_word
+        if max(as_id, as_phone) < ACCEPT:
+            return None
+        return (start, end, "national_id", as_id) if as_id >= as_phone else (start, end, "phone", as_phone)
 
     @staticmethod
     def _addresses(text: str):
