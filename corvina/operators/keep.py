@@ -50,7 +50,7 @@ def distinct_in_order(df: DataFrame, key: Column, position: str) -> DataFrame:
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows per key. Spark keeps n rows per key and task before the shuffle (window group limit)."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    return df.withColumn("_rank_in_key", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank_in_key") <= n).drop("_rank_in_key")
 
 
 def job_merge(pending: DataFrame, fresh: DataFrame, key: str, position: str) -> DataFrame:
