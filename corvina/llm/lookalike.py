@@ -85,12 +85,15 @@ def _styled(c: str) -> bool:
 #: A text without any of these is already in the consistent form. A joiner or selector right after a picture is left to the
 #: full check only when it is not in its usual place.
 _PICTURES = "\u200d\ufe0f\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff"
-_SUSPECT = re.compile(
-    "["
-    + _char_class({c for c in map(chr, range(0x20000)) if _styled(c)} | BLANKS | (UNSEEN - {"\u200d", "\ufe0f"}) | set(ALIKE_LATIN) | set(map(chr, range(0x300, 0x370))) | set(map(chr, range(0x1100, 0x1200))))
-    + f"]|(?<![{_PICTURES}])\u200d|\u200d(?![{_PICTURES}])|(?<![{_PICTURES}\u203c-\u2bff0-9#*©®])\ufe0f|^\u200d"
+_ODD = _char_class({c for c in map(chr, range(0x20000)) if _styled(c)} | BLANKS | (UNSEEN - {"\u200d", "\ufe0f"}) | set(ALIKE_LATIN) | set(map(chr, range(0x300, 0x370))) | set(map(chr, range(0x1100, 0x1200))))
+_MAYBE = re.compile(f"[{_ODD}\u200d\ufe0f]")
+_SUSPECT = re.compile(f"[{_ODD}]|(?<![{_PICTURES}])\u200d|\u200d(?![{_PICTURES}])|(?<![{_PICTURES}\u203c-\u2bff0-9#*©®])\ufe0f|^\u200d")
+_OTHER_SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1cbf\u1f00-\u1fff\u2c80-\u2cff\u2d00-\u2d2f\u2de0-\u2dff\ua640-\ua69f\ua4d0-\ua4ff\uab70-\uabbf"
+_TWO_SCRIPTS = re.compile(f"[{_OTHER_SCRIPTS}]")
+#: Letters of two groups of scripts in one word; a text without has no mixed word.
+_SIDE_BY_SIDE = re.compile(
+    "|".join(f"[{a}][0-9\u0300-\u036f]*[{b}]" for a, b in (("A-Za-z\u00c0-\u024f", _OTHER_SCRIPTS), (_OTHER_SCRIPTS, "A-Za-z\u00c0-\u024f"), ("\u0400-\u052f", "\u0370-\u03ff\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u2c80-\u2cff"), ("\u0370-\u03ff\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u2c80-\u2cff", "\u0400-\u052f")))
 )
-_TWO_SCRIPTS = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1cbf\u1f00-\u1fff\u2c80-\u2cff\u2d00-\u2d2f\u2de0-\u2dff\ua640-\ua69f\ua4d0-\ua4ff\uab70-\uabbf]")
 
 
 def _script_of_text(text: str) -> str | None:
@@ -129,12 +132,13 @@ def spell(word: str) -> tuple[str, bool]:
     return "".join(c if s in _scripts(c) else _drawn(c, s) or c for c in word), True
 
 
-def canonical(text: str | None) -> tuple[str | None, int]:
+def canonical(text: str | None, report: bool = True) -> tuple[str | None, int]:
     """The consistent form, and which differences there were: 1 width or style, 2 parts, 4 unseen mark, 8 blank,
-    16 letter of another script inside a word, 32 (no difference, a report) word wholly in a look-alike script."""
+    16 letter of another script inside a word, 32 (no difference, only if a report is wanted) word wholly in a look-alike
+    script."""
     if not text or text.isascii():
         return text, 0
-    if not _SUSPECT.search(text) and not _TWO_SCRIPTS.search(text):
+    if not (_MAYBE.search(text) and _SUSPECT.search(text)) and not (_TWO_SCRIPTS.search(text) and (report or _SIDE_BY_SIDE.search(text))):
         done = ud.normalize("NFC", text)
         return done, 2 * (done != text)
     flags, out, n = 0, [], len(text)
@@ -213,20 +217,26 @@ def normalize_lookalikes(df: DataFrame, text: str, keep: list[str]) -> DataFrame
     return out.withColumn("affected", F.col("differences").bitwiseAND(F.lit(31)) != 0)
 
 
+#: Combining marks of Latin, Greek and Cyrillic letters, met most, and where those of other scripts lie.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_FARTHER = re.compile("[\u0483-\u1cff\u20d0-\u20f0\u302a-\u309a\ua66f-\uabff\ufb1e\ufe00-\ufe2f\U00010a00-\U0001e8ff\U000e0100-\U000e01ef]")
 _MARKS = regex.compile(r"\p{M}+")
-_PLAIN_TR = str.maketrans("İIıÇçĞğÖöŞşÜüÂâÎîÛû", "iiiccggoossuuaaiiuu")
-_RUNS = regex.compile(r"[\p{L}\p{N}]+")
+_RUNS = re.compile(r"[^\W_]+")
 
 
 def fold(text: str | None) -> str:
     """Consistent form without case and accents, ı as i; other characters stay."""
     if not text:
         return ""
-    text = canonical(text)[0].translate(_PLAIN_TR)
+    if text.isascii():
+        return text.lower()
+    text = canonical(text, report=False)[0].replace("İ", "i").replace("ı", "i")
+    text = ud.normalize("NFD", text)
     if not text.isascii():
-        text = _MARKS.sub("", ud.normalize("NFD", text)).replace("ı", "i")
-        return ud.normalize("NFC", text.casefold())
-    return text.lower()
+        text = _ACCENTS.sub("", text)
+        if _FARTHER.search(text):
+            text = ud.normalize("NFC", _MARKS.sub("", text))
+    return text.casefold()
 
 
 def words(text: str | None) -> list[str]:
