@@ -45,6 +45,24 @@ def one_to_one(matches: DataFrame) -> DataFrame:
     return best.select(F.col("x.left_id").alias("left_id"), "right_id", *[F.col(f"x.{c}").alias(c) for c in rest[1:]])
 
 
+def match_faults(matches: DataFrame) -> DataFrame:
+    """What is wrong in a match set, a row per match and fault: left_id, right_id, fault. The set itself stays as it is.
+
+    matches: left_id, right_id, match_type, similarity, date_distance_days. Faults: an id missing (null or blank), a type
+    other than exact and near, a similarity that is no number of 0 to 1, days below 0 (both may be null), a left or right
+    post in more than one match. A repeated row is two matches.
+    """
+    used = lambda c: matches.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"_{c}"))
+    m = matches.join(used("left_id"), "left_id", "left").join(used("right_id"), "right_id", "left")
+    no = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    faults = {
+        "no id": no("left_id") | no("right_id"), "match type": ~F.coalesce(F.lower(F.trim("match_type")), F.lit("")).isin("exact", "near"),
+        "similarity": ~F.col("similarity").between(0, 1), "days": F.col("date_distance_days") < 0,
+        "left used again": F.col("_left_id") > 1, "right used again": F.col("_right_id") > 1,
+    }
+    return m.select("left_id", "right_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in faults.items()]))).alias("fault"))
+
+
 def similar_products(products: DataFrame, minimum: float = 67.0) -> DataFrame:
     """id_a < id_b of one brand with a word in common: decision, score, reason.
 

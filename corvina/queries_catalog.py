@@ -16,10 +16,10 @@ from corvina.operators.compare import changed, count_delta, fingerprint, stale
 from corvina.operators.grouping import linked_groups
 from corvina.operators.keep import best_merged, distinct_in_order, keep_best, keep_first, top_n
 from corvina.operators.merge import assign_ids, ordered_pairs, remap, replace_children, upsert
-from corvina.operators.pairs import nearest_captions, one_to_one, similar_products
+from corvina.operators.pairs import match_faults, nearest_captions, similar_products
 from corvina.plans import catalog as c
 from corvina.plans.metadata import checked_posts
-from corvina.session import ensure_checkpoint_dir, table
+from corvina.session import cut, ensure_checkpoint_dir, table
 from corvina.streaming.clicks import run_complete, stream_of, windowed_counts
 
 # ---- what the SQL shares
@@ -209,10 +209,15 @@ def repost_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_posts(spark: SparkSession, d: str) -> DataFrame:
-    """For every Instagram post the most similar TikTok post of its creator, each TikTok post at most once."""
+    """For every Instagram post the most similar TikTok post of its creator; several may have the same one (cross_post_faults)."""
     day = to_day(F.col("published_at"), F.col("published_at"), F.lit(None).cast("double"))
     p = c.posts(spark, d).select("id", "influencer_id", "caption", "platform", day.alias("day"))
-    return one_to_one(nearest_captions(p.where("platform = 'instagram'"), p.where("platform = 'tiktok'"), "influencer_id"))
+    return nearest_captions(p.where("platform = 'instagram'"), p.where("platform = 'tiktok'"), "influencer_id")
+
+
+def cross_post_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Cross posts that a 1:1 match set could not hold, and any other fault of theirs."""
+    return match_faults(cut(cross_posts(spark, d)))
 
 
 def product_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +341,7 @@ QUERIES = {
     "g5_search_fuzzy": search_fuzzy, "c6_search_by_id": search_by_id, "e3_zero_filled": zero_filled, "d6_creators": creators, "e4_panel": panel, "e11_status_counts": status_counts, "e8_pending": pending,
     "d13_resolved": resolved, "d13_resolved_by_name": resolved_by_name, "n1_normalized_names": normalized_names, "e7_families": families, "g4_ranked_posts": ranked_posts, "g8_best_mentions": best_mentions,
     "g7_first_mentions": first_mentions, "g9_merged_mentions": merged_mentions, "g20_new_ids": new_ids, "b6_match_pairs": match_pairs, "b1_upserted_matches": upserted_matches, "d10_cross_platform": cross_platform,
-    "e15_match_summary": match_summary, "d7_unmatched_posts": unmatched_posts, "h4_repost_groups": repost_groups, "d15_cross_posts": cross_posts, "d16_product_pairs": product_pairs, "f19_same_words": same_words,
+    "e15_match_summary": match_summary, "d7_unmatched_posts": unmatched_posts, "h4_repost_groups": repost_groups, "d15_cross_posts": cross_posts, "f11_cross_post_faults": cross_post_faults, "d16_product_pairs": product_pairs, "f19_same_words": same_words,
     "e16_same_evidence": same_evidence, "d17_leaked_evidence": leaked_evidence, "e17_prompt_groups": prompt_groups, "f9_checked_metadata": checked_metadata, "f9_metadata_reasons": metadata_reasons, "s15_dated_metadata": dated_metadata,
     "s11_link_parts": link_parts, "j2_hash_check": hash_check, "d25_changed_sources": changed_sources, "b4_replaced_mentions": replaced_mentions, "e18_platform_delta": platform_delta, "e19_fingerprints": table_fingerprints,
     "s16_payload_fields": payload_fields, "c13_first_spellings": first_spellings, "h3_id_sets": id_sets, "j6_event_windows": event_windows,

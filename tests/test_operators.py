@@ -10,7 +10,7 @@ from corvina.operators.keep import best_merged, collapse, distinct_in_order, job
 from corvina.operators.latest import latest_per_key
 from corvina.operators.merge import assign_ids, ignoring, new_if_given, ordered_pairs, remap, replace_children, sticky, upsert
 from corvina.operators.orphans import apply_deltas, existence_delta, orphan_keys, orphan_rows, reaching_keys, reference_delta, snapshot_delta
-from corvina.operators.pairs import nearest_captions, one_to_one, similar_products
+from corvina.operators.pairs import match_faults, nearest_captions, one_to_one, similar_products
 
 
 def rows(df, *cols):
@@ -146,6 +146,25 @@ def test_nearest_captions(spark):
     assert single.select("right_id").distinct().count() == single.count()
 
 
+def test_cross_posts_keep_every_left_post(spark, tmp_path):
+    from corvina.plans.catalog import POST
+    from corvina.queries_catalog import QUERIES
+
+    texts = [(1, "instagram", 7, "Stock caption"), (2, "instagram", 7, "stock  caption"), (3, "instagram", 7, "something else"), (4, "instagram", 8, "stock caption"), (11, "tiktok", 7, "stock caption")]
+    posts = spark.createDataFrame(texts, "id long, platform string, influencer_id long, caption string").withColumns({"published_at": F.lit("2026-01-01"), "updated_at": F.lit("2026-01-01 00:00:00").cast("timestamp")})
+    posts.withColumns({c: F.lit(None).cast("string") for c in POST if c not in posts.columns}).write.parquet(str(tmp_path / "social_posts.parquet"))
+    assert rows(QUERIES["d15_cross_posts"](spark, str(tmp_path)), "left_id", "right_id", "match_type") == [(1, 11, "exact"), (2, 11, "exact")]
+    assert rows(QUERIES["f11_cross_post_faults"](spark, str(tmp_path))) == [(1, 11, "right used again"), (2, 11, "right used again")]
+
+
+def test_match_faults(spark):
+    good = [(1, 11, "exact", 1.0, 0), (2, 12, " Near", None, None)]
+    bad = [(3, None, "near", 0.9, 1), (4, 14, "close", 0.9, 1), (5, 15, "near", 1.1, 1), (6, 16, "near", float("nan"), -1), (7, 17, "near", 0.9, 1), (7, 18, "near", 0.9, 1), (8, 18, None, 0.9, 1)]
+    got = match_faults(spark.createDataFrame(good + bad, "left_id long, right_id long, match_type string, similarity double, date_distance_days int"))
+    assert rows(got) == [(3, None, "no id"), (4, 14, "match type"), (5, 15, "similarity"), (6, 16, "days"), (6, 16, "similarity"), (7, 17, "left used again"), (7, 18, "left used again"), (7, 18, "right used again"), (8, 18, "match type"), (8, 18, "right used again")]
+    assert match_faults(got.limit(0).selectExpr("left_id", "right_id", "fault as match_type", "0.5D as similarity", "0 as date_distance_days")).count() == 0
+
+
 def test_similar_products(spark):
     df = spark.createDataFrame([(1, "L'Oréal", "Krem SPF 50", "skincare"), (2, "Loreal Paris", "spf 50 krem", "skincare"), (3, "loreal", "Krem SPF 30", "skincare"), (4, "loreal", "krem spf 50", "makeup"), (5, "other", "Krem SPF 50", "skincare"), (6, "loreal", "Bambaşka", None), (7, None, "Krem", None), (8, "loreal", None, None)], "id int, brand string, product_name string, category string")
     got = {(r.id_a, r.id_b): (r.decision, r.reason) for r in similar_products(df).collect()}
