@@ -26,6 +26,8 @@ LEAST_WORDS = 10
 BANDS, ROWS = 140, 10
 #: A bucket of more representatives than this is compared by pivot and prefix.
 WIDE = 48
+#: Members of a group are compared in parts of about this many, so that a large group is many tasks.
+PART = 512
 
 
 def _mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -131,10 +133,27 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     return links.unionByName(stars).unionByName(verified(across)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, wide: int = WIDE) -> DataFrame:
+def links_within(member: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+    """same and links: of each set how many others of its group reach the threshold, all pairs of a group compared.
+
+    member: group_id, same (one per set), words. Sets without a link have no row. A group is dealt to parts, and each two
+    parts meet once: the work grows with the square of a group, but no task with more than two parts.
+    """
+    parts = member.groupBy("group_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(member, "group_id")
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
+    side = lambda s, meets: parts.select("group_id", F.col("part").alias(f"p{s}"), F.explode(meets).alias(f"p{'b' if s == 'a' else 'a'}"), F.col("same").alias(s), F.col("words").alias(f"w{s}"))
+    a, b = side("a", F.sequence("part", F.col("parts") - 1)), side("b", F.sequence(F.lit(0), "part"))
+    both = F.size(F.array_intersect("wa", "wb"))
+    alike = both / (F.size("wa") + F.size("wb") - both) >= threshold
+    met = a.join(b, ["group_id", "pa", "pb"]).where((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))).where(alike)
+    return met.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, wide: int = WIDE, with_links: bool = True) -> DataFrame:
     """One row per record of at least least_words distinct words: key, group_id (least key of its group), links.
 
-    links: verified links to other word sets, plus records of the same set. Records with fewer words, null or empty text or
+    links: other word sets of the group that reach the threshold with this one, all compared (links_within), plus other
+    records of the same set; without with_links the column is left out and so is its work. Records with fewer words, null or empty text or
     a null key are not in the result. A repeated row counts once; a key (a long) with different texts is a record in the
     groups of each. Groups do not depend on the order of rows. Other columns are ignored, whatever their names.
     """
@@ -146,7 +165,11 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     reps = classes.select(F.col("rep").alias("id"), "words")
     links = cut(similar_pairs(reps, threshold, bands, rows, wide))
     groups = connected_components(links)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    of_class = of_class.select("same", "words", F.coalesce("group_id", "rep").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "words", "copies", F.coalesce("group_id", "rep").alias("group_id"))
+    if not with_links:
+        return sets.join(of_class, ["same", "words"]).select(F.col("id").alias(key), "group_id")
+    of_class = cut(of_class)
+    linked = of_class.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    degree = links_within(of_class.join(linked, "group_id", "left_semi").select("group_id", "same", "words"), threshold)
+    of_class = of_class.join(degree, "same", "left").select("same", "words", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     return sets.join(of_class, ["same", "words"]).select(F.col("id").alias(key), "group_id", "links")

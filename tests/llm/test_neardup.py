@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from corvina.llm.lookalike import words
-from corvina.llm.neardup import circulant_signature, near_duplicate_groups, similar_pairs
+from corvina.llm.neardup import circulant_signature, links_within, near_duplicate_groups, similar_pairs
 
 
 def brute(texts, threshold=0.7, least=10):
@@ -64,6 +64,21 @@ def test_hot_group_is_not_compared_pairwise(spark):
     assert got == brute(texts)
 
 
+def test_links_as_by_brute_force(spark):
+    base, rnd = [f"h{k}" for k in range(30)], random.Random(3)
+    texts = {i: " ".join([*rnd.sample(base, rnd.choice([24, 28])), f"x{i}"]) for i in range(80)} | {1000 + i: t for i, t in made(40, 5).items()}
+    texts[500] = texts[0].upper()
+    sets = {i: frozenset(words(t)) for i, t in texts.items()}
+    distinct, group = set(sets.values()), brute(texts)
+    want = {i: sum(len(s & o) / len(s | o) >= 0.7 for o in distinct - {s}) + sum(o == s for o in sets.values()) - 1 for i, s in sets.items()}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = {r.id: (r.group_id, r.links) for r in near_duplicate_groups(df, "id", "t", wide=1).collect()}
+    assert got == {i: (group[i], want[i]) for i in texts}
+    member = spark.createDataFrame([(0, k, [hash(w) % 2**31 for w in sorted(s)]) for k, s in enumerate(distinct)], "group_id long, same long, words array<int>")
+    few = {r.same: r.links for r in links_within(member, part=7).collect()}  # in many parts each pair still counts once
+    assert few == {r.same: r.links for r in links_within(member).collect()} and max(few.values()) > 7
+
+
 def test_cases(spark):
     ten = "a b c d e f g h i j"
     rows = [(1, ten, 9), (2, ten.upper() + "!!", 9), (3, "a b c", 9), (4, None, 9), (5, "", 9), (None, ten, 9), (1, ten, 9), (7, " ".join(f"u{i}" for i in range(50000)), 9)]
