@@ -23,10 +23,14 @@ def local_session(name: str = "corvina", cores: int | str = "*", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a folder of our own only where none is set (tests)."""
+    """Use the shared folder the cluster names. Where none is set, a local session takes a folder of its own (tests); on a
+    cluster that would be a folder only the driver sees, so it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -35,5 +39,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a join side that follows the size of the data: joined by sort and merge, never broadcast, also not when it looks
+    small while running (many sides just under the limit add up in the driver)."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
