@@ -6,7 +6,8 @@
 2. Small components: minimum propagation over alternating stars (every vertex hands the smallest vertex it knows to its
    larger, then to its smaller neighbours), which halves distances, so rounds grow with the logarithm of the diameter.
 
-Only counters come to the driver. Every round is written to the shared checkpoint folder.
+Only counters come to the driver. Every round is written to the shared checkpoint folder. Sides that follow the data are
+joined by shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.session import cut
+from corvina.session import cut, shuffled
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,10 +28,10 @@ def _star_round(edges: DataFrame) -> DataFrame:
     """edges (u > v): first every vertex links its larger neighbours to the least vertex around, then its smaller ones."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     large = cut(large)
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u")
+    small = large.join(shuffled(least), "u")
     # each smaller neighbour except the least, and the vertex itself, hang on the least
     return small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -67,8 +68,8 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", peel_roun
     spark = pairs.sparkSession
     seen = frontier = spark.createDataFrame([(top["u"],)], "id long")
     for _ in range(peel_rounds):
-        reached = both.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti"))
+        reached = both.join(shuffled(frontier.select(F.col("id").alias("u"))), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+        frontier = cut(reached.join(shuffled(seen), "id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
@@ -77,8 +78,8 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", peel_roun
     core = seen.agg(F.min("id")).first()[0]
     inside = seen.withColumn("_in", F.lit(True))
     rest = (
-        proper.join(inside.select(F.col("id").alias("u"), F.col("_in").alias("_iu")), "u", "left")
-        .join(inside.select(F.col("id").alias("v"), F.col("_in").alias("_iv")), "v", "left")
+        proper.join(shuffled(inside.select(F.col("id").alias("u"), F.col("_in").alias("_iu"))), "u", "left")
+        .join(shuffled(inside.select(F.col("id").alias("v"), F.col("_in").alias("_iv"))), "v", "left")
         .where("_iu is null or _iv is null")
         .select(F.when(F.col("_iu"), F.lit(core)).otherwise(F.col("u")).alias("u"), F.when(F.col("_iv"), F.lit(core)).otherwise(F.col("v")).alias("v"))
     )
@@ -86,5 +87,5 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", peel_roun
     # where the contracted part hangs on a smaller vertex, all of it does
     core_label = labels.where(F.col("id") == core).agg(F.min("label")).first()[0]
     peeled = seen.select("id", F.lit(core if core_label is None else core_label).cast("long").alias("group_id"))
-    others = vertices.join(seen, "id", "left_anti").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("group_id"))
+    others = vertices.join(shuffled(seen), "id", "left_anti").join(shuffled(labels), "id", "left").select("id", F.coalesce("label", "id").alias("group_id"))
     return others.unionByName(peeled)

@@ -3,9 +3,11 @@
 Only two permutations are used: sigma spreads the words once, pi is applied to them shifted by k for coordinate k.
 Both are fixed bijections of 32-bit numbers (a shift is an addition modulo 2^32), so neither needs a table.
 
-Records of equal word sets are one representative from the start. Buckets of a band that hold many representatives are
-not compared pairwise: first all are compared with one pivot and grouped; only members of different groups are compared
-afterwards, joined by a rare word that any two sets above the threshold must share (prefix filtering, which loses nothing).
+Records of equal word sets are one representative from the start. Bucket and record are sorted in ranges, so a bucket that
+holds any part of the rows lies over as many tasks as it fills. In every bucket each record is compared with the bucket's first one
+(the pivot). Where that leaves several groups in a bucket, its members of different groups are compared as well, joined by a
+rare word that any two sets above the threshold must share (prefix filtering, which loses nothing). Buckets of all sizes
+go the same way. No side that follows the data is broadcast.
 """
 
 from __future__ import annotations
@@ -14,18 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.components import connected_components
 from corvina.llm.lookalike import words
-from corvina.session import cut
+from corvina.session import cut, shuffled
 
 THRESHOLD = 0.7
 LEAST_WORDS = 10
-BANDS, ROWS = 140, 10
-#: A bucket of more representatives than this is compared by pivot and prefix.
-WIDE = 48
+#: A pair at the threshold 0.7 meets in some band with probability 1 - (1 - 0.7^8)^90 = 0.995, at 0.75 with 0.9999.
+BANDS, ROWS = 90, 8
 #: Members of a group are compared in parts of about this many, so that a large group is many tasks.
 PART = 512
 
@@ -49,25 +51,22 @@ def circulant_signature(flat: np.ndarray, starts: np.ndarray, k: int) -> np.ndar
     return out
 
 
-def band_keys(sets: pd.Series, bands: int, rows: int) -> list[np.ndarray]:
-    """For each set of 32-bit words its bands' 64-bit keys, the band's number mixed in."""
-    lengths = sets.map(len).to_numpy()
-    if not len(lengths):
-        return []
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    sig = circulant_signature(np.concatenate(sets.to_list()).astype(np.int64).astype(np.uint32), starts, bands * rows).astype(np.uint64)
-    keys = np.empty((len(lengths), bands), dtype=np.uint64)
+def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set of 64-bit words its bands' 64-bit keys, the band's number mixed in; arguments as in circulant_signature."""
+    half = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
+    sig = circulant_signature(half, starts, bands * rows).astype(np.uint64)
+    keys = np.empty((len(starts), bands), dtype=np.uint64)
     for b in range(bands):
-        h = np.full(len(lengths), b + 1, dtype=np.uint64)
+        h = np.full(len(starts), b + 1, dtype=np.uint64)
         for r in range(rows):
             h = (h ^ sig[b * rows + r]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         keys[:, b] = h
-    return list(keys.view(np.int64))
+    return keys.view(np.int64)
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and words: the distinct words as sorted 32-bit hashes. Null and empty text: an empty set."""
+    """key and words: the distinct words as sorted 64-bit hashes. Null and empty text: an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -76,61 +75,104 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(df.dtypes)[key]
     folded = df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, _w string")
     split = F.when(F.col("_w") == "", F.array().cast("array<string>")).otherwise(F.split("_w", " "))
-    return folded.select(key, F.array_sort(F.array_distinct(F.transform(split, lambda w: F.hash(w)))).alias("words"))
+    return folded.select(key, F.array_sort(F.array_distinct(F.transform(split, lambda w: F.xxhash64(w)))).alias("words"))
 
 
-def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, wide: int = WIDE) -> DataFrame:
-    """Links (a, b, jaccard), a < b, that connect all sets whose Jaccard similarity reaches the threshold.
+def bucketed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """id and keys (array<long>, one a band) of every set; sets: id long, words array of 32- or 64-bit numbers, not empty."""
 
-    sets: id long, words array<int> (distinct, not empty). Pairs of narrow buckets are complete; of wide buckets there is a
-    link to the pivot and one between members of different groups, enough for the same connected components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column("words").combine_chunks() if isinstance(b.column("words"), pa.ChunkedArray) else b.column("words")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+            keys = band_keys(flat, starts, bands, rows)
+            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "keys"])
+
+    return sets.select("id", "words").mapInArrow(run, "id long, keys array<long>")
+
+
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """bucket, pivot, id of every record that is not the first of its bucket; keyed: id, keys.
+
+    Ranges of (bucket, id) are sorted, one shuffle, and each task names the first record it meets of a bucket its pivot. A
+    bucket that goes on in the next range has a pivot there, too: those are few and are tied to the least one afterwards.
     """
 
-    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "keys": band_keys(b["words"], bands, rows)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(bucket, pivot, id_, border):
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(pivot, pa.int64()), pa.array(id_, pa.int64()), pa.array(border, pa.bool_())], ["bucket", "pivot", "id", "border"])
 
-    keyed = sets.mapInPandas(bucketed, "id long, keys array<long>").select("id", F.explode("keys").alias("bucket"))
-    full = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"))
-    held = cut(keyed.join(full, "bucket"))
+        bucket = pivot = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, i = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "id"))
+            new = np.concatenate([[bucket is None or k[0] != bucket], k[1:] != k[:-1]])
+            # each row's pivot: where its bucket begins, or the one carried over from the batch before
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            of = np.where(at >= 0, i[np.maximum(at, 0)], -1 if pivot is None else pivot)
+            if bucket is None:
+                yield out(k[:1], of[:1], of[:1], [True])
+            rest = ~new
+            if rest.any():
+                yield out(k[rest], of[rest], i[rest], np.zeros(int(rest.sum()), dtype=bool))
+            bucket, pivot = k[-1], of[-1]
+        if bucket is not None:
+            yield out([bucket], [pivot], [pivot], [True])
+
+    rows = keyed.select("id", F.explode("keys").alias("bucket")).repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    got = cut(rows.select("bucket", "id").mapInArrow(run, "bucket long, pivot long, id long, border boolean"))
+    border = got.where("border").select("bucket", "id").distinct()  # two rows a task at most
+    least = border.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
+    tied = border.join(shuffled(least), "bucket").where("id <> pivot").select("bucket", "pivot", "id")
+    return got.where("not border").select("bucket", "pivot", "id").unionByName(tied)
+
+
+def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Links (a, b, jaccard), a < b, that connect all sets that meet in a bucket and whose Jaccard similarity reaches the threshold.
+
+    sets: id long, words (array of numbers, distinct, not empty). Two members of a bucket that are already linked through
+    others need no link of their own: the links have the connected components of all similar pairs, not all of these.
+    """
+    held = cut(shared_buckets(cut(bucketed(sets, bands, rows))))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        got = (
-            pairs.distinct()
-            .join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        )
+        a, b = (sets.select(F.col("id").alias(s), F.col("words").alias(f"w{s}")) for s in "ab")
+        got = pairs.distinct().join(shuffled(a), "a").join(shuffled(b), "b")
         both = F.size(F.array_intersect("wa", "wb"))
         return got.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
-    narrow = held.where(F.col("n") <= wide).select("bucket", "id")
-    links = verified(narrow.select("bucket", F.col("id").alias("a")).join(narrow.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b"))
-    hot = held.where(F.col("n") > wide)
-    if hot.isEmpty():
-        return links
-
-    stars = cut(verified(hot.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
-    group = connected_components(stars)
-    member = hot.select("bucket", "id").join(group, "id", "left").select("bucket", "id", F.coalesce("group_id", "id").alias("g"))
-    open_ = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("bucket")
-    member = cut(member.join(open_, "bucket"))
+    stars = cut(verified(held.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))))
+    # equal labels: certainly linked; two steps of the least label are enough to spare most comparisons
+    ends = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    label = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l"))
+    label = ends.join(shuffled(label.select(F.col("u").alias("v"), "l")), "v").groupBy("u").agg(F.min("l").alias("g"))
+    member = held.select("bucket", "id").unionByName(held.select("bucket", F.col("pivot").alias("id"))).distinct()
+    member = cut(member.join(shuffled(label.select(F.col("u").alias("id"), "g")), "id", "left").select("bucket", "id", F.coalesce("g", "id").alias("g")))
+    # two members: the pivot's comparison was the only one; one label: nothing is left to find
+    open_ = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n > 2 and lo <> hi").select("bucket")
+    member = cut(member.join(shuffled(open_), "bucket", "left_semi"))
     # a set's rarest words: two sets above the threshold share one of the first size - ceil(threshold * size) + 1
-    rare = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    used = sets.join(member.select("id").distinct(), "id", "left_semi").select("id", F.size("words").alias("size"), F.explode("words").alias("w")).join(rare, "w")
-    # the sets are bounded by their own texts; sorted per set, not per bucket
+    used = cut(sets.join(shuffled(member.select("id").distinct()), "id", "left_semi").select("id", F.size("words").alias("size"), F.explode("words").alias("w")))
+    rare = used.groupBy("w").agg(F.count("*").alias("df"))
+    # the words of one set, bounded by its own text; sorted per set, not per bucket
     prefix = (
-        used.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+        used.join(shuffled(rare.where("df > 1")), "w", "left").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("ws"))
         .select("id", F.explode(F.slice("ws", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("x"))
-        .select("id", F.col("x.w").alias("w"))
-    )
-    spread = cut(member.join(prefix, "id"))
+        .where("x.df > 1").select("id", F.col("x.w").alias("w"))
+    )
+    spread = cut(member.join(shuffled(prefix), "id"))
     across = (
         spread.select("bucket", "w", F.col("id").alias("a"), F.col("g").alias("ga"))
-        .join(spread.select("bucket", "w", F.col("id").alias("b"), F.col("g").alias("gb")), ["bucket", "w"])
+        .join(shuffled(spread.select("bucket", "w", F.col("id").alias("b"), F.col("g").alias("gb"))), ["bucket", "w"])
         .where("a < b and ga <> gb")
         .select("a", "b")
     )
-    return links.unionByName(stars).unionByName(verified(across)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return stars.unionByName(verified(across)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def links_within(member: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
@@ -139,17 +181,17 @@ def links_within(member: DataFrame, threshold: float = THRESHOLD, part: int = PA
     member: group_id, same (one per set), words. Sets without a link have no row. A group is dealt to parts, and each two
     parts meet once: the work grows with the square of a group, but no task with more than two parts.
     """
-    parts = member.groupBy("group_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(member, "group_id")
+    parts = member.groupBy("group_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(shuffled(member), "group_id")
     parts = parts.withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
     side = lambda s, meets: parts.select("group_id", F.col("part").alias(f"p{s}"), F.explode(meets).alias(f"p{'b' if s == 'a' else 'a'}"), F.col("same").alias(s), F.col("words").alias(f"w{s}"))
     a, b = side("a", F.sequence("part", F.col("parts") - 1)), side("b", F.sequence(F.lit(0), "part"))
     both = F.size(F.array_intersect("wa", "wb"))
     alike = both / (F.size("wa") + F.size("wb") - both) >= threshold
-    met = a.join(b, ["group_id", "pa", "pb"]).where((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))).where(alike)
+    met = a.join(shuffled(b), ["group_id", "pa", "pb"]).where((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b"))).where(alike)
     return met.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, wide: int = WIDE, with_links: bool = True) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, with_links: bool = True) -> DataFrame:
     """One row per record of at least least_words distinct words: key, group_id (least key of its group), links.
 
     links: other word sets of the group that reach the threshold with this one, all compared (links_within), plus other
@@ -159,17 +201,20 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     """
     records = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets = word_sets(records, "id", "text").where(F.size("words") >= least_words)
-    sets = cut(sets.withColumn("same", F.xxhash64("words", F.lit(17))).dropDuplicates(["id", "same"]))
-    classes = sets.groupBy("same", "words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    reps = classes.select(F.col("rep").alias("id"), "words")
-    links = cut(similar_pairs(reps, threshold, bands, rows, wide))
-    groups = connected_components(links)
-    of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("same", "words", "copies", F.coalesce("group_id", "rep").alias("group_id"))
+    # a set is known by 128 bits from here on; its words travel once
+    same = ["s1", "s2"]
+    sets = cut(sets.select("id", F.xxhash64("words", F.lit(17)).alias("s1"), F.xxhash64("words", F.lit(5)).alias("s2"), "words"))
+    classes = cut(sets.groupBy(*same, "words").agg(F.min("id").alias("rep")))
+    ids = sets.select("id", *same).distinct()
+    links = cut(similar_pairs(classes.select(F.col("rep").alias("id"), "words"), threshold, bands, rows))
+    groups = connected_components(links, "a", "b")
+    of_class = classes.join(shuffled(groups.withColumnRenamed("id", "rep")), "rep", "left").withColumn("group_id", F.coalesce("group_id", "rep"))
     if not with_links:
-        return sets.join(of_class, ["same", "words"]).select(F.col("id").alias(key), "group_id")
+        return ids.join(shuffled(of_class.select(*same, "group_id")), same).select(F.col("id").alias(key), "group_id")
     of_class = cut(of_class)
     linked = of_class.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    degree = links_within(of_class.join(linked, "group_id", "left_semi").select("group_id", "same", "words"), threshold)
-    of_class = of_class.join(degree, "same", "left").select("same", "words", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return sets.join(of_class, ["same", "words"]).select(F.col("id").alias(key), "group_id", "links")
+    degree = links_within(of_class.join(shuffled(linked), "group_id", "left_semi").select("group_id", F.col("rep").alias("same"), "words"), threshold)
+    copies = ids.groupBy(*same).agg(F.count("*").alias("copies"))
+    of_class = of_class.join(shuffled(degree.withColumnRenamed("same", "rep")), "rep", "left").join(shuffled(copies), same)
+    of_class = of_class.select(*same, "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return ids.join(shuffled(of_class), same).select(F.col("id").alias(key), "group_id", "links")

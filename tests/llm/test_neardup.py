@@ -50,17 +50,29 @@ def test_groups_as_by_brute_force(spark):
     texts = made(300)
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
     want = brute(texts)
-    for wide in (48, 1):  # 1: all buckets go the way of hot ones
-        got = {r.id: r.group_id for r in near_duplicate_groups(df, "id", "t", wide=wide).collect()}
+    for bands, rows in ((90, 8), (40, 3)):  # few rows: many members of a bucket are not alike
+        got = {r.id: r.group_id for r in near_duplicate_groups(df, "id", "t", bands=bands, rows=rows).collect()}
         assert got == want
 
 
+def test_a_bucket_over_several_ranges_stays_one(spark):
+    from corvina.llm.neardup import shared_buckets
+
+    keyed = spark.createDataFrame([(i, [7, 1000 + i, 8 if i % 50 == 0 else 5000 + i]) for i in range(600)], "id long, keys array<long>")
+    links = [(r.bucket, r.pivot, r.id) for r in shared_buckets(keyed).collect()]
+    assert {b for b, _, _ in links} == {7, 8} and len(links) == len(set(links))
+    seen, reached = {p: i for b, p, i in links if b == 7}, {0}
+    for _ in range(5):
+        reached |= {i for b, p, i in links if b == 7 and p in reached}
+    assert reached == set(range(600)) and {i for b, _, i in links if b == 8} == set(range(50, 600, 50)) and seen
+
+
 def test_hot_group_is_not_compared_pairwise(spark):
     base = [f"h{k}" for k in range(30)]
     rnd = random.Random(3)
     texts = {i: " ".join([*rnd.sample(base, 28), f"x{i}"]) for i in range(150)} | {1000 + i: t for i, t in made(60, 5).items()}
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
-    got = {r.id: r.group_id for r in near_duplicate_groups(df, "id", "t", wide=10).collect()}
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "id", "t").collect()}
     assert got == brute(texts)
 
 
@@ -72,7 +84,7 @@ def test_links_as_by_brute_force(spark):
     distinct, group = set(sets.values()), brute(texts)
     want = {i: sum(len(s & o) / len(s | o) >= 0.7 for o in distinct - {s}) + sum(o == s for o in sets.values()) - 1 for i, s in sets.items()}
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
-    got = {r.id: (r.group_id, r.links) for r in near_duplicate_groups(df, "id", "t", wide=1).collect()}
+    got = {r.id: (r.group_id, r.links) for r in near_duplicate_groups(df, "id", "t").collect()}
     assert got == {i: (group[i], want[i]) for i in texts}
     member = spark.createDataFrame([(0, k, [hash(w) % 2**31 for w in sorted(s)]) for k, s in enumerate(distinct)], "group_id long, same long, words array<int>")
     few = {r.same: r.links for r in links_within(member, part=7).collect()}  # in many parts each pair still counts once
