@@ -3,9 +3,10 @@
 Only two permutations are used: sigma spreads the words once, pi is applied to them shifted by k for coordinate k.
 Both are fixed bijections of 32-bit numbers (a shift is an addition modulo 2^32), so neither needs a table.
 
-Records of equal word sets are one representative from the start. Bucket and record are sorted in ranges, so a bucket that
-holds any part of the rows lies over as many tasks as it fills. In every bucket each record is compared with the bucket's first one
-(the pivot). Where that leaves several groups in a bucket, its members of different groups are compared as well, joined by a
+Records of equal word sets are one representative from the start. Buckets are combined before the shuffle: of the records
+of a batch that share a bucket only the first goes on, the others are tied to it, so a bucket that holds any part of the
+rows costs a row a batch. What is shuffled are packed columns of numbers, a row a batch and part, not a row a record and band.
+In every bucket each record is compared with the bucket's first one (the pivot). Where that leaves several groups in a bucket, its members of different groups are compared as well, joined by a
 rare word that any two sets above the threshold must share (prefix filtering, which loses nothing). Buckets of all sizes
 go the same way. No side that follows the data is broadcast.
 """
@@ -30,6 +31,8 @@ LEAST_WORDS = 10
 BANDS, ROWS = 90, 8
 #: Members of a group are compared in parts of about this many, so that a large group is many tasks.
 PART = 512
+#: Rows of (bucket, record) that one task sorts at a time, 16 bytes each.
+PACKED = 2_000_000
 
 
 def _mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -62,7 +65,7 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np
             h = (h ^ sig[b * rows + r]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         keys[:, b] = h
-    return keys.view(np.int64)
+    return keys
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -78,58 +81,60 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return folded.select(key, F.array_sort(F.array_distinct(F.transform(split, lambda w: F.xxhash64(w)))).alias("words"))
 
 
-def bucketed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id and keys (array<long>, one a band) of every set; sets: id long, words array of 32- or 64-bit numbers, not empty."""
+def _first_of(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted buckets: whether each row is the first of its bucket, and the id of that first one."""
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    return new, ids[np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column("words").combine_chunks() if isinstance(b.column("words"), pa.ChunkedArray) else b.column("words")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
-            keys = band_keys(flat, starts, bands, rows)
-            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["id", "keys"])
-
-    return sets.select("id", "words").mapInArrow(run, "id long, keys array<long>")
 
+def shared_buckets(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """bucket, pivot, id: ties that hold each bucket of several records together; a record alone in a bucket has none.
 
-def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """bucket, pivot, id of every record that is not the first of its bucket; keyed: id, keys.
-
-    Ranges of (bucket, id) are sorted, one shuffle, and each task names the first record it meets of a bucket its pivot. A
-    bucket that goes on in the next range has a pivot there, too: those are few and are tied to the least one afterwards.
+    sets: id long, words array of 32- or 64-bit numbers, not empty. Parts of buckets have about PACKED rows each, so their
+    number follows the input and a task's memory does not.
     """
+    parts = max(sets.sparkSession.sparkContext.defaultParallelism, -(-sets.count() * bands // PACKED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(bucket, pivot, id_, border):
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(pivot, pa.int64()), pa.array(id_, pa.int64()), pa.array(border, pa.bool_())], ["bucket", "pivot", "id", "border"])
-
-        bucket = pivot = None
-        for b in batches:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, b in enumerate(batches):
             if not b.num_rows:
                 continue
-            k, i = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "id"))
-            new = np.concatenate([[bucket is None or k[0] != bucket], k[1:] != k[:-1]])
-            # each row's pivot: where its bucket begins, or the one carried over from the batch before
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            of = np.where(at >= 0, i[np.maximum(at, 0)], -1 if pivot is None else pivot)
-            if bucket is None:
-                yield out(k[:1], of[:1], of[:1], [True])
-            rest = ~new
-            if rest.any():
-                yield out(k[rest], of[rest], i[rest], np.zeros(int(rest.sum()), dtype=bool))
-            bucket, pivot = k[-1], of[-1]
-        if bucket is not None:
-            yield out([bucket], [pivot], [pivot], [True])
-
-    rows = keyed.select("id", F.explode("keys").alias("bucket")).repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
-    got = cut(rows.select("bucket", "id").mapInArrow(run, "bucket long, pivot long, id long, border boolean"))
-    border = got.where("border").select("bucket", "id").distinct()  # two rows a task at most
-    least = border.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    tied = border.join(shuffled(least), "bucket").where("id <> pivot").select("bucket", "pivot", "id")
-    return got.where("not border").select("bucket", "pivot", "id").unionByName(tied)
+            b = b.sort_by("id")
+            lists, ids = b.column("words"), b.column("id").to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+            bucket = band_keys(flat, starts, bands, rows).ravel()
+            order = np.argsort(bucket, kind="stable")  # ids are in order, so they are within a bucket, too
+            bucket, ids = bucket[order], ids[order // bands]
+            new, first = _first_of(bucket, ids)
+            ties = np.concatenate([bucket[~new].view(np.int64), first[~new], ids[~new]])
+            bucket, ids = bucket[new], ids[new]
+            ends = np.searchsorted(((bucket >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31), np.arange(parts + 1, dtype=np.uint64))
+            blobs = [np.concatenate([bucket[x:y].view(np.int64), ids[x:y]]).tobytes() for x, y in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([*range(parts), n % parts], pa.int32()), pa.array([False] * parts + [True]), pa.array([*blobs, ties.tobytes()], pa.binary())], ["part", "tied", "blob"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(bucket, pivot, id_):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, pivot, id_)], ["bucket", "pivot", "id"])
+
+        keys, owners = [], []
+        for b in batches:
+            for tied, blob in zip(b.column("tied").to_pylist(), b.column("blob")):
+                x = np.frombuffer(blob.as_buffer(), dtype=np.int64)
+                if tied:
+                    yield out(*x.reshape(3, -1))
+                else:
+                    keys.append(x[: len(x) // 2])
+                    owners.append(x[len(x) // 2 :])
+        if keys and sum(map(len, keys)):
+            bucket, ids = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((ids, bucket))
+            bucket, ids = bucket[order], ids[order]
+            new, first = _first_of(bucket, ids)
+            yield out(bucket[~new], first[~new], ids[~new])
+
+    packed = sets.select("id", "words").mapInArrow(pack, "part int, tied boolean, blob binary")
+    return packed.repartition(parts, "part").select("tied", "blob").mapInArrow(unpack, "bucket long, pivot long, id long")
 
 
 def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -138,7 +143,7 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     sets: id long, words (array of numbers, distinct, not empty). Two members of a bucket that are already linked through
     others need no link of their own: the links have the connected components of all similar pairs, not all of these.
     """
-    held = cut(shared_buckets(cut(bucketed(sets, bands, rows))))
+    held = cut(shared_buckets(sets, bands, rows))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(s), F.col("words").alias(f"w{s}")) for s in "ab")

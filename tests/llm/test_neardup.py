@@ -55,16 +55,23 @@ def test_groups_as_by_brute_force(spark):
         assert got == want
 
 
-def test_a_bucket_over_several_ranges_stays_one(spark):
-    from corvina.llm.neardup import shared_buckets
-
-    keyed = spark.createDataFrame([(i, [7, 1000 + i, 8 if i % 50 == 0 else 5000 + i]) for i in range(600)], "id long, keys array<long>")
-    links = [(r.bucket, r.pivot, r.id) for r in shared_buckets(keyed).collect()]
-    assert {b for b, _, _ in links} == {7, 8} and len(links) == len(set(links))
-    seen, reached = {p: i for b, p, i in links if b == 7}, {0}
-    for _ in range(5):
-        reached |= {i for b, p, i in links if b == 7 and p in reached}
-    assert reached == set(range(600)) and {i for b, _, i in links if b == 8} == set(range(50, 600, 50)) and seen
+def test_ties_hold_every_bucket_together(spark, monkeypatch):
+    from corvina.llm import neardup
+
+    monkeypatch.setattr(neardup, "PACKED", 500)  # many parts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # buckets over many batches
+    try:
+        sets = spark.createDataFrame([(i, [3, 4] if i % 3 else [100 + i]) for i in range(600)], "id long, words array<long>")
+        ties = [(r.bucket, r.pivot, r.id) for r in neardup.shared_buckets(sets, 3, 2).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alike = {i for i in range(600) if i % 3}
+    assert len(ties) == len(set(ties)) == 3 * (len(alike) - 1) and len({b for b, _, _ in ties}) == 3
+    for bucket in {b for b, _, _ in ties}:
+        reached = {1}
+        for _ in range(3):
+            reached |= {i for b, p, i in ties if b == bucket and p in reached}
+        assert reached == alike
 
 
 def test_hot_group_is_not_compared_pairwise(spark):
