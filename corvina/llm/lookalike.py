@@ -23,8 +23,18 @@ ALIKE = """
 A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι|J Ј -|K К Κ|M М Μ|N - Ν|O О Ο|P Р Ρ|S Ѕ -|T Т Τ|X Х Χ|Y Ү Υ|Z - Ζ|W Ԝ -|Q Ԛ -|G Ԍ -|V Ѵ -
 a а α|c с ϲ|e е -|g - -|h һ -|i і ι|j ј ϳ|k к κ|l ӏ -|n п η|o о ο|p р ρ|q ԛ -|s ѕ -|u - υ|v ѵ ν|w ԝ ω|x х χ|y у γ|d ԁ -|r г -|b Ь -|f - ϝ|m м -|t т τ|ö ӧ -|ä ӓ -|ë ё -|ï ї ϊ
 """
+# Letters of further scripts drawn like Latin ones (script, then letter and Latin letter).
+ALIKE_FURTHER = """
+Armenian Օo օo Տs Սu Լl հh ոn սu զq գq ցg յj աw ւi ղn ռn քf
+Cherokee Ꭰd Ꭱr Ꭲt Ꭵi Ꭹy Ꭺa Ꭻj Ꭼe Ꮃw Ꮇm Ꮋh Ꮍy Ꮐg Ꮒh Ꮓz Ꮟb Ꮢr Ꮤw Ꮥs Ꮩv Ꮪs Ꮮl Ꮯc Ꮲp Ꮶk Ꮷd Ꮹg Ᏻg Ᏼb
+Coptic Ⲁa Ⲃb Ⲍz Ⲏh Ⲓi Ⲕk Ⲙm Ⲛn Ⲟo ⲟo Ⲣp ⲣp Ⲥc ⲥc Ⲧt Ⲩy Ⲭx
+Georgian ყy ჿo
+Lisu ꓐb ꓑp ꓓd ꓔt ꓖg ꓗk ꓙj ꓚc ꓜz ꓝf ꓟm ꓠn ꓡl ꓢs ꓣr ꓦv ꓧh ꓪw ꓫx ꓬy ꓮa ꓰe ꓲi ꓳo ꓴu
+"""
 # Letters of the Latin script itself that are drawn like plain ones.
 ALIKE_LATIN = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ʏ": "y", "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ɢ": "g", "ʜ": "h", "ᴊ": "j", "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ƽ": "s", "ꞌ": "'", "ʋ": "v", "ɾ": "r", "ɯ": "w", "ʐ": "z"}
+# Letters whose look-alikes cannot be told apart by eye; only these make a word of another script suspicious.
+IDENTICAL = set("асеорхуіјѕԁԛԝһӏАВЕКМНОРСТХІЈЅԚԜ" "οϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ" "օոսհցզՕՍ" "ⲟⲣⲥⲞⲢⲤⲦⲎⲔⲘⲚ")
 # Signs with a compatibility form that count as plain.
 PLAIN_SIGNS = set("…™℠№ªº¹²³¼½¾℃℉¨¯´¸µำຳŉĳĿŀ‥⁄") | set(map(chr, range(0x3131, 0x318F))) | set(map(chr, range(0x2150, 0x2190)))
 UNSEEN = set("\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\u2065\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0\ufff9\ufffa\ufffb") | set(map(chr, [*range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]))
@@ -44,6 +54,18 @@ def _tables() -> dict[str, dict[str, str]]:
                     for other in three.values():
                         if other not in ("-", letter):
                             to[script].setdefault(other, letter)
+    for row in ALIKE_FURTHER.split("\n"):
+        script, *pairs = row.split() or [""]
+        for letter, plain in pairs:
+            # written in capitals these scripts look like Latin capitals
+            latin = plain.upper() if letter.isupper() or not letter.islower() and script in ("Cherokee", "Lisu") else plain
+            to["Latin"][letter] = latin
+            to.setdefault(script, {}).setdefault(latin, letter)
+            # through the Latin letter, each of the three takes it as well
+            for three in ("Cyrillic", "Greek"):
+                if latin in to[three]:
+                    to[three].setdefault(letter, to[three][latin])
+                    to[script].setdefault(to[three][latin], letter)
     return to
 
 
@@ -85,8 +107,9 @@ def _styled(c: str) -> bool:
 #: A text without any of these is already in the consistent form. A joiner or selector right after a picture is left to the
 #: full check only when it is not in its usual place.
 _PICTURES = "\u200d\ufe0f\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff"
-_ODD = _char_class({c for c in map(chr, range(0x20000)) if _styled(c)} | BLANKS | (UNSEEN - {"\u200d", "\ufe0f"}) | set(ALIKE_LATIN) | set(map(chr, range(0x300, 0x370))) | set(map(chr, range(0x1100, 0x1200))))
-_MAYBE = re.compile(f"[{_ODD}\u200d\ufe0f]")
+_ODD_SET = {c for c in map(chr, range(0x20000)) if _styled(c)} | BLANKS | (UNSEEN - {"\u200d", "\ufe0f"}) | set(ALIKE_LATIN) | set(map(chr, range(0x300, 0x370))) | set(map(chr, range(0x1100, 0x1200)))
+_ODD = _char_class(_ODD_SET)
+_MAYBE = frozenset(_ODD_SET | {"\u200d", "\ufe0f"})
 _SUSPECT = re.compile(f"[{_ODD}]|(?<![{_PICTURES}])\u200d|\u200d(?![{_PICTURES}])|(?<![{_PICTURES}\u203c-\u2bff0-9#*©®])\ufe0f|^\u200d")
 _OTHER_SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1cbf\u1f00-\u1fff\u2c80-\u2cff\u2d00-\u2d2f\u2de0-\u2dff\ua640-\ua69f\ua4d0-\ua4ff\uab70-\uabbf"
 _TWO_SCRIPTS = re.compile(f"[{_OTHER_SCRIPTS}]")
@@ -132,13 +155,15 @@ def spell(word: str) -> tuple[str, bool]:
     return "".join(c if s in _scripts(c) else _drawn(c, s) or c for c in word), True
 
 
-def canonical(text: str | None, report: bool = True) -> tuple[str | None, int]:
+def canonical(text: str | None, report: bool = True, settle: bool = False) -> tuple[str | None, int]:
     """The consistent form, and which differences there were: 1 width or style, 2 parts, 4 unseen mark, 8 blank,
     16 letter of another script inside a word, 32 (no difference, only if a report is wanted) word wholly in a look-alike
-    script."""
+    script: all its letters (two at least) are drawn exactly as in the script most of the text is in. Such a word can be an honest one of
+    its language, so it stays unless it is to be settled, too. Letters of a mixed word that no other script has a look-alike
+    for (a foreign stem with an ending) stay."""
     if not text or text.isascii():
         return text, 0
-    if not (_MAYBE.search(text) and _SUSPECT.search(text)) and not (_TWO_SCRIPTS.search(text) and (report or _SIDE_BY_SIDE.search(text))):
+    if (_MAYBE.isdisjoint(text) or not _SUSPECT.search(text)) and not (_TWO_SCRIPTS.search(text) and (report or _SIDE_BY_SIDE.search(text))):
         done = ud.normalize("NFC", text)
         return done, 2 * (done != text)
     flags, out, n = 0, [], len(text)
@@ -181,34 +206,41 @@ def canonical(text: str | None, report: bool = True) -> tuple[str | None, int]:
         composed = composed.replace("i\u0307", "i")
         if _COMBINING.search(composed):
             composed = _COMBINING.sub(lambda m: ud.normalize("NFC", m[0][0] + "".join(dict.fromkeys(m[0][1:]))), composed)
-    here: str | None = None
-    whole: list[str] = []
     pieces, end = [], 0
+    whole: list[tuple[int, frozenset[str]]] = []  # pieces in one script that is not Latin
     for m in _WORD.finditer(composed):
         word, mixed = spell(m[0])
         pieces += [composed[end : m.start()], word]
         end = m.end()
         if mixed:
             flags |= 16
-        elif not m[0].isascii():
-            whole.append(m[0])
-    done = "".join([*pieces, composed[end:]])
-    for w in whole:
-        letters = [c for c in w if _LETTER.match(c)]
-        own = frozenset.intersection(*(_scripts(c) for c in letters)) if letters else frozenset()
-        if own and "Latin" not in own:
-            here = here or _script_of_text(done)
-            if here in TO and here not in own and all(c in TO[here] for c in letters):
-                flags |= 32
+        elif not word.isascii() and (report or settle):
+            letters = [c for c in word if _LETTER.match(c)]
+            own = frozenset.intersection(*(_scripts(c) for c in letters)) if letters else frozenset()
+            if own and "Latin" not in own and len(letters) > 1:
+                whole.append((len(pieces) - 1, own))
+    pieces.append(composed[end:])
+    done = "".join(pieces)
+    here = _script_of_text(done) if whole else None
+    for k, own in whole:
+        if here in TO and here not in own and all(c in TO[here] and (c in IDENTICAL or not c.isalpha() or own & {"Cherokee", "Lisu"}) for c in pieces[k] if _LETTER.match(c)):
+            flags |= 32
+            if settle:
+                pieces[k] = "".join(TO[here].get(c, c) for c in pieces[k])
+    if settle:
+        done = "".join(pieces)
     return done, flags
 
 
-def normalize_lookalikes(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep's columns, canonical_text string (null stays null), differences int (see canonical; 0: none), affected boolean."""
+def normalize_lookalikes(df: DataFrame, text: str, keep: list[str], settle: bool = False) -> DataFrame:
+    """keep's columns, canonical_text string (null stays null), differences int (see canonical; 0: none), affected boolean.
+
+    settle: words wholly in a look-alike script take the text's script as well; they do not count as affected.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [canonical(t) for t in b["_text"]]
+            got = [canonical(t, settle=settle) for t in b["_text"]]
             yield pd.DataFrame({**{c: b[c] for c in keep}, "canonical_text": [t for t, _ in got], "differences": pd.Series([f for _, f in got], dtype="int32")})
 
     rows = df.select(*keep, F.col(text).alias("_text"))

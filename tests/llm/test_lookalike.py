@@ -32,6 +32,17 @@ def test_whole_script_lookalike_is_reported_only():
     assert got == text and flags == 32
 
 
+def test_whole_script_lookalike_can_be_settled():
+    assert canonical("plain latin text with соре inside", settle=True) == ("plain latin text with cope inside", 32)
+    assert canonical("обычный русский текст cope", settle=True)[0] == "обычный русский текст cope"
+    assert canonical("latin words and крем жизни", settle=True)[0] == "latin words and крем жизни"
+
+
+@pytest.mark.parametrize("text, form", [("sօlution", "solution"), ("Ꭺpple", "Apple"), ("ꓢerum", "Serum"), ("Ⲥream", "Cream"), ("bეყer", "bეyer"), ("ყear", "year"), ("հայeրեն", "հայeրեն"), ("սոցiալ", "սոցւալ")])
+def test_further_scripts(text, form):
+    assert canonical(text) == (form, 16)
+
+
 def test_fold_and_words():
     assert fold("IĞDIR İşi â") == "igdir isi a"
     assert words("Şık_#güneş-ışığı ™ 50ml’lik") == ["sik", "gunes", "isigi", "50ml", "lik"]
