@@ -1,8 +1,9 @@
-"""Personal information inside free text: e-mail and street addresses, phone and identity numbers, names.
+"""Personal information inside free text: e-mail and street addresses, phone, identity, card and account numbers, names.
 
-Regular expressions propose spans with a score by shape, checksums raise it, words nearby raise or lower it; what reaches
-ACCEPT counts. Numbers of the usual shape need no valid checksum: a mistyped number is personal, too. Overlapping spans:
-the higher score wins, then the longer, then the earlier.
+Regular expressions propose spans with a score by shape, checksums confirm or refute them (Luhn for cards, mod-97 for IBANs,
+the check digits of identity numbers), words nearby raise or lower the score; what reaches ACCEPT counts. A card number counts only
+with a valid checksum, as nothing else tells it from an order number; other numbers of the usual shape also without, a
+mistyped one is personal, too. Overlapping spans: the higher score wins, then the longer, then the earlier.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 ACCEPT = 0.5
 MAX_NAMES = 1_000_000
-KINDS = ("email", "phone", "national_id", "address", "person_name")
+KINDS = ("email", "phone", "national_id", "address", "person_name", "card", "iban")
+#: How many characters before and after a number or a name are searched for words that say what it is.
+BEFORE, AFTER, BEFORE_NAME = 35, 30, 40
 
 # ---- e-mail: plain, with blanks, full-width, or spelled out
 _AT = r"(?:[@＠]|[^\S\n][@＠][^\S\n]|\s?[\[({]\s?(?:at|@|et)\s?[\])}]\s?)"
@@ -29,33 +32,49 @@ _EMAIL_WORDS = re.compile(rf"{_LOCAL}\s(?:at|et)\s{_LABEL}(?:(?:\.|\s(?:dot|nokt
 
 # ---- numbers
 _NUMBER = re.compile(r"(?<![\w@.,:/#-])(?:\+\s?|\()?\(?\d(?:(?:[^\S\n]|[./-]|[^\S\n]?\(|\)[^\S\n]?|\)[./-])?\d){6,17}(?![\w@]|[.,:/-]\d)")
+_IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?!\w)", re.I)
 _NINO = re.compile(r"(?<!\w)[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?!\w)", re.I)
 # Groupings of ten digits without a prefix that are written for phones, and of identity numbers.
 _PHONE_GROUPS = {(10,), (3, 3, 4), (3, 3, 2, 2), (3, 7), (4, 3, 3), (4, 6), (2, 4, 4)}
 _ID_GROUPS = {(11,), (3, 3, 3, 2), (2, 3, 3, 3), (3, 4, 4), (1, 3, 3, 4), (5, 6), (4, 4, 3)}
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (16,)}
 # Words beside a number.
+_FOR_IBAN = re.compile(r"iban|hesap|account|konto|bank", re.I)
+_FOR_CARD = re.compile(r"kart|card|karte|visa|master|amex|карт", re.I)
 _FOR_ID = re.compile(r"kimlik|t\.?\s?c\.?\s?(?:k|no|$)|tckn|\bssn\b|social security|\bnino?\b|national insurance|\bid\s*(?:no|number|nr)|ausweis|steuer-?id|passport|pasaport|vatandaş", re.I)
 _FOR_PHONE = re.compile(r"\btel\b|telefon|phone|\bcall\b|\btext\b|\bfax\b|whats?app|randevu|(?<!kimlik )numara|ara(?:yın|yabilir)|hatt|\bgsm\b|\bcep\b|anruf|mobil|ulaş|iletişim", re.I)
 _AGAINST = re.compile(r"sipariş|order|barkod|barcode|\bean\b|\blot\b|kargo|takip no|tracking|stok|fiyat|price|\bkod\b|\bcode\b|seri|bölüm|son kullanma|iban|€|\bTL\b", re.I)
 
 # ---- street addresses
-_W = r"[^\W\d_][\w'’-]{0,60}"
+_W = r"[^\W\d_][\w'’-]*+"
 _STREET = r"(?:caddesi|cadde|cad\.?|cd\.?|sokağı|sokak|sok\.?|sk\.?|bulvarı|bulvar|blv\.?|bul\.?|mahallesi|mahalle|mah\.?|mh\.?|meydanı|yolu)"
 _DOOR = r"(?:no[^\S\n]?[:.]?[^\S\n]?\d+(?:[^\S\n]?/[^\S\n]?\d+)?\w?|(?:d|daire|kat|k|apt|blok)[^\S\n]?[:.]?[^\S\n]?\d+\w?|\d+(?:/\d+)?[a-z]?)"
 _TOWN = rf"(?:\d{{5}}[^\S\n]+{_W}(?:[^\S\n]?/[^\S\n]?{_W})?|{_W}[^\S\n]+\d{{5}}|{_W}[^\S\n]?/[^\S\n]?{_W}|{_W})"
 _ADDRESS = [
-    re.compile(rf"(?<![\w-]){_W}[^\S\n]+{_STREET}(?![\w])(?:,?[^\S\n]+{_W}[^\S\n]+{_STREET}(?!\w))*(?:,?[^\S\n]*{_DOOR})+(?:,[^\S\n]*|[^\S\n]+){_TOWN}", re.I),
+    re.compile(rf"(?<![\w'’-]){_W}[^\S\n]+{_STREET}(?![\w])(?:,?[^\S\n]+{_W}[^\S\n]+{_STREET}(?!\w))*(?:,?[^\S\n]*{_DOOR})+(?:,[^\S\n]*|[^\S\n]+){_TOWN}", re.I),
     re.compile(rf"(?<![\w/,.])(?:(?:apt|flat|unit|suite)\.?[^\S\n]*\d+\w?,[^\S\n]*)?\d{{1,5}}\w?[^\S\n]+{_W}(?:[^\S\n]+{_W})?[^\S\n]+(?:lane|avenue|street|road|drive|court|square|terrace|boulevard|crescent|ave\.?|rd\.?|ln\.?|blvd\.?)(?!\w),?[^\S\n]+{_TOWN}", re.I),
-    re.compile(rf"(?<!\w)(?:[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)|{_W}[^\S\n]+(?:straße|strasse|str\.|weg|platz|allee))[^\S\n]+\d+[^\S\n]?[a-z]?,?[^\S\n]+\d{{5}}[^\S\n]+{_W}", re.I),
+    re.compile(rf"(?<![\w-])(?:[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)|{_W}[^\S\n]+(?:straße|strasse|str\.|weg|platz|allee))[^\S\n]+\d+[^\S\n]?[a-z]?,?[^\S\n]+\d{{5}}[^\S\n]+{_W}", re.I),
 ]
 
 # ---- names
-# Phrases before a name, phrases after one, titles, and usual endings of family names.
-_BEFORE = re.compile(r"(?:\badım|\bben|\bbu videoyu|\bfotoğraf için|\bfotoğraf|\bkurgu|\bçekim|\bmy name is|\bi am|\bphoto(?:graphy)? by|\bhair by|\bmake-?up by|\bfilmed by|(?<![#@])\b(?:makyaj|saç|foto)(?=:)|\bsevgiyle|\bsevgiler|\bteşekkürler|\bthanks to|\bcontact|\bçekilişi|\balıcı|\byaşarsanız|\bmein name ist|\bich bin|\bgönderen|\byetkili|\blove|\bregards)\s*[:,]?\s*$", re.I)
+# Phrases after which a name stands: those that announce nothing else, and those that often do; what follows a
+# name; titles; usual endings of family names.
+_ANNOUNCES = r"\b(?:ad[ıi]m|ismim|ad[ıi]\s?soyad[ıi]|my name is|my name['’]s|name\s?(?=:)|i am called|mein name ist|ich hei(?:ß|ss)e|меня зовут|je m['’]appelle|me llamo)"
+_CREDITS = (
+    r"\b(?:ben|i am|i['’]m|this is|ich bin|это|foto(?:ğraf)?(?: için)?|bu videoyu|kurgu|çekim|photo(?:graphy)? by|photo credit|hair by|make-?up by|filmed by|edited by|written by|directed by|interview with|"
+    r"sevgiyle|sevgiler|saygılarımla|teşekkürler|thanks to|thank you|danke an|contact|kontakt|iletişim|çekilişi|kazanan|winner|alıcı|gönderen|yetkili|yaşarsanız|love|regards|sincerely|gruß|grüße|dear|liebe[r]?|sevgili)"
+    r"|(?<![#@])\b(?:makyaj|saç|foto)(?=:)"
+)
+_BEFORE = re.compile(rf"(?:{_ANNOUNCES}|{_CREDITS})\s*[:,]?\s*$", re.I)
+_STRONG = re.compile(rf"{_ANNOUNCES}\s*[:,]?\s*$", re.I)
+_TITLES = r"\b(?:dr|prof|doç|av|uzm|op|dt|ecz|mr|mrs|ms|herr|frau|sayın|sn)\.?\s*"
+_TITLE = re.compile(rf"(?:{_TITLES})+$", re.I)
+_CUE_ENDS = re.compile(rf"(?:{_ANNOUNCES}|{_CREDITS})\s*[:,]?\s*|{_TITLES}", re.I)
 _AFTER = re.compile(r"^(?:['’]\w+)?\s*(?:,\s*)?(?:hanım|bey\b|ile (?:birlikte|canlı)|kazandı|and this is my|yıllardır|schreibt|\(|tel\b|['’](?:a|e|ya|ye|ın|in|ı|i|la|le)\b)", re.I)
-_TITLE = re.compile(r"(?:\b(?:dr|prof|doç|av|uzm|op|dt|ecz|mr|mrs|ms|herr|frau|sayın|sn)\.?\s*)+$", re.I)
 _FAMILY = re.compile(r"(?:oğlu|oglu|soy|gil|man|han|ler|lar|er|sen|son|berg|well|ova|ov|kan|türk|stein|mann|ski|feer|kaya|demir|ton|ford)$", re.I)
-_PRODUCT_AFTER = re.compile(r"^\s*(?:ruj|palet|serum|blush|krem|toner|tonik|maske|maskara|far|set|jel|paleti|koleksiyonu?)(?!\w)", re.I)
+# Goods after which a brand or a line is called.
+_PRODUCT_AFTER = re.compile(r"^\s*(?:ruj|palet|serum|blush|krem|kremi|toner|tonik|maske|maskara|far|set|jel|paleti|koleksiyonu?|losyon|şampuan|parfüm|cream|lotion|shampoo|perfume|lipstick|mascara|mask|palette|gel|oil|creme|maske)(?!\w)", re.I)
+_FIRST = re.compile(r"(?<![\w@#.＠])(?:[^\W\d_]{2,}|[^\W\d_]\.)")
 _NAME = re.compile(r"(?<![\w@#.＠])(?:[^\W\d_]{2,}|[^\W\d_]\.)(?: [^\W\d_]{2,}){1,2}(?![\w@])")
 
 
@@ -114,8 +133,11 @@ class Finder:
     @staticmethod
     def _numbers(text: str):
         for m in _NINO.finditer(text):
-            near = text[max(0, m.start() - 35) : m.start()]
+            near = text[max(0, m.start() - BEFORE) : m.start()]
             yield m.start(), m.end(), "national_id", 0.6 + 0.3 * bool(_FOR_ID.search(near))
+        for m in _IBAN.finditer(text):
+            near = text[max(0, m.start() - BEFORE) : m.start()]
+            yield m.start(), m.end(), "iban", 0.2 + 0.8 * mod97(m[0]) + 0.3 * bool(_FOR_IBAN.search(near))
         for m in _NUMBER.finditer(text):
             start, end = m.span()
             # a number that follows after a blank may have been taken in: the longest beginning that is a number counts
@@ -136,13 +158,18 @@ class Finder:
             raw, start = raw[1:], start + 1
         digits = re.sub(r"\D", "", raw)
         groups = tuple(map(len, re.findall(r"\d+", raw)))
-        last, after = text[max(0, start - 35) : start].rsplit("\n", 1)[-1], text[end : end + 30].split("\n")[0]
+        last, after = text[max(0, start - BEFORE) : start].rsplit("\n", 1)[-1], text[end : end + AFTER].split("\n")[0]
         # the nearest word before the number says most
         at = {k: max((x.end() for x in p.finditer(last)), default=-1) for k, p in (("id", _FOR_ID), ("phone", _FOR_PHONE), ("against", _AGAINST))}
         id_word = at["id"] > max(at["against"], at["phone"])
         phone_word = at["phone"] > max(at["against"], at["id"]) or bool(_FOR_PHONE.search(after))
         against = at["against"] > max(at["id"], at["phone"], len(last) - 22)
         n, as_id, as_phone = len(digits), 0.0, 0.0
+        if 13 <= n <= 19 and digits[0] in "23456" and min(groups) > 1 and luhn(digits) and "+" not in raw and "(" not in raw:
+            # a bar code can be valid by chance: card-like grouping or a word for it must agree
+            as_card = 0.35 + 0.35 * (groups in _CARD_GROUPS) + 0.35 * bool(_FOR_CARD.search(last)) - 0.3 * against
+            if as_card >= ACCEPT:
+                return start, end, "card", as_card
         if groups == (3, 2, 4):
             as_id = 0.6
         elif n == 11 and groups in _ID_GROUPS and "+" not in raw and "(" not in raw:
@@ -170,22 +197,25 @@ class Finder:
                 yield m.start(), m.end(), "address", 0.95
 
     def _names(self, text: str):
+        """A name begins with a given name in use, an initial, or right after a word that announces one."""
+        starts = {m.end() for m in _CUE_ENDS.finditer(text)}
         at = 0
-        while m := _NAME.search(text, at):
-            got = self._name_at(text, m)
-            if got:
+        for w in _FIRST.finditer(text):
+            start = w.start()
+            if start < at or not (start in starts or w[0][-1] == "." or self._given(w[0])):
+                continue
+            if (m := _NAME.match(text, start)) and (got := self._name_at(text, m)):
                 yield got
                 at = got[1]
-            else:
-                # the next word may begin a name
-                at = m.start() + len(re.match(r"\w+\.?", m[0])[0])
 
     def _name_at(self, text: str, m: re.Match):
         words = m[0].split(" ")
         start = m.start()
-        before = text[max(0, start - 40) : start]
+        before = text[max(0, start - BEFORE_NAME) : start]
         title = _TITLE.search(before)
-        cue = bool(_BEFORE.search(before[: title.start()] if title else before)) or bool(title)
+        said = before[: title.start()] if title else before
+        cue = bool(title) or bool(_BEFORE.search(said))
+        strong = cue and bool(_STRONG.search(said))
         first = words[0]
         if not cue and not self._given(first) and not first.endswith("."):
             return None
@@ -200,11 +230,13 @@ class Finder:
             if _FAMILY.search(words[2]) and (self._given(words[1]) or not _FAMILY.search(words[1]) or (_AFTER.match(three) and not _AFTER.match(two))):
                 n = 3
         words = words[:n]
+        if words[0][0].isupper() != words[-1][0].isupper():
+            return None  # a word of the sentence
         end = start + len(" ".join(words))
         after = text[end : end + 30]
         family = words[-1]
         upper = all(w[0].isupper() for w in words)
-        score = 0.45 * self._given(first) + 0.3 * first.endswith(".") * upper + 0.35 * cue + 0.25 * bool(_FAMILY.search(family)) + 0.15 * bool(_AFTER.match(after)) + 0.1 * upper
+        score = 0.45 * self._given(first) + 0.3 * first.endswith(".") * upper + (0.45 if strong else 0.35) * cue + 0.25 * bool(_FAMILY.search(family)) + 0.15 * bool(_AFTER.match(after)) + 0.1 * upper
         if not upper:
             score -= 0.1
         if _PRODUCT_AFTER.match(after) or _PRODUCT_AFTER.match(" " + family):
@@ -216,10 +248,11 @@ class Finder:
         return (start, end, "person_name", min(score, 0.94)) if score >= ACCEPT else None
 
 
-# Words that stand where a name could but are none.
-_NOT_NAMES = set("""ile ve and the is my this for by bir bu hafta tüm için da de mi olan sabah gece öğlen akşam favori sizce cildim review honestly swatching unboxing layering day code mein tag für
-trockene haut nach mit und von beni bana bize seni herkes herkese hepinize iyi günaydın ruj palet serum blush krem toner günlüğüm koleksiyonundan lansmanından usulü paketi serumunu bende kullanınca
-çok canlı birlikte hanım bey number of asked whether shelf left finally beats next era starts us me you so atmayın kazandı to from with over""".split())
+# Function words, pronouns, greetings and times of day that follow a cue or a given name without being a name.
+_NOT_NAMES = set("""ile ve veya da de mi mu ki bu şu o bir için gibi kadar çok daha tüm her sabah öğlen öğle akşam gece hafta gün bugün yarın dün iyi günaydın merhaba selam hanım bey beni bana bize seni sana size onu ona
+herkes herkese hepinize hepimize olan oldu var yok ne nasıl birlikte canlı bende sende
+the a an and or but my your his her our their this that these those is are was were has have had for by with from to of on in at as it its i you he she we they me him us so not no yes next last new first morning evening night day week
+der die das ein eine und oder aber mein meine dein ihr sein für mit und nach von zu im am auf ist sind war hat haben ich du er sie es wir nicht tag woche morgen abend""".split())
 
 
 def find_personal(df: DataFrame, key: str, text: str, names: DataFrame | None = None, name: str = "name") -> DataFrame:
