@@ -108,11 +108,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", with_text=False)
+    return split_sentences(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", "text", with_text=False, lang="lang")
 
 
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return split_sentences(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", "text", lang="lang")
 
 
 QUERIES = {

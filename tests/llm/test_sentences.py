@@ -21,6 +21,16 @@ def test_on_one_line(pieces):
     assert parts(" ".join(pieces)) == pieces
 
 
+@pytest.mark.parametrize("text, lang, pieces", [
+    ("She said no. 40 people left.", "en", ["She said no.", "40 people left."]), ("She said no. 40 people left.", None, ["She said no.", "40 people left."]), ("We love modern art. 12 of us came.", "EN", ["We love modern art.", "12 of us came."]),
+    ("Shade no. 40 is the best of the range.", "en", None), ("Siehe Art. 12 und Abb. 3 im Anhang.", "de", None), ("Die ganze Kunst ist von dieser Art. 12 Leute kamen mit uns.", "en", ["Die ganze Kunst ist von dieser Art.", "12 Leute kamen mit uns."]),
+    ("Bunu yapan sen. Ben değilim.", "tr", ["Bunu yapan sen.", "Ben değilim."]), ("Sen. Smith spoke to the committee.", "en", None), ("Dedi ki al. Sonra git ve bak.", None, ["Dedi ki al.", "Sonra git ve bak."]),
+    ("Ответь им. Они ждут.", "en", None), ("Kürzlich geöffnet, vgl. Abb. 3 und usw. im Text.", "und", None), ("wort " + "x" * 200 + ". Neu.", "de", ["wort " + "x" * 200 + ".", "Neu."]),
+])
+def test_suppression_is_of_the_language(text, lang, pieces):
+    assert [text[a:b] for a, b in sentences(text, lang)] == (pieces or [text])
+
+
 def test_scripts_without_blanks():
     assert parts("最高！「もう一度買いますか？」とトモさんが聞きました。🌸本当に？色（No.23）は明るい。") == ["最高！", "「もう一度買いますか？」とトモさんが聞きました。🌸", "本当に？", "色（No.23）は明るい。"]
     assert parts("太好用了！“还会回购吗？”漫禾问我。第84天，变少了！") == ["太好用了！", "“还会回购吗？”漫禾问我。", "第84天，变少了！"]
