@@ -1,6 +1,6 @@
 import random
 
-from corvina.llm.leakage import ItemIndex, find_leaks
+from corvina.llm.leakage import ItemIndex, _codes, find_leaks, terms_of
 from corvina.llm.lookalike import words
 
 
@@ -26,10 +26,32 @@ def test_same_as_brute_force():
         want = [i for i, t in items if any(" " + " ".join(words(t)[k : k + 10]) + " " in flat for k in range(len(words(t)) - 9))]
         assert index.leaked(text) == want
     # every query retrieves what a full scoring retrieves
-    for doc in texts(40, 64, 5):
-        q = set(doc.split())
-        full = [k for k in range(len(index.ids)) if sum(dict(zip(*index.lists[w][:2])).get(k, 0) for w in q if w in index.lists) >= 1 - 1e-9]
-        assert index.retrieve(q) == full
+    (part,) = index.parts
+    for doc in texts(40, 64, 5) + [t for _, t in items[:20]]:
+        q = set(terms_of(_codes("".join(words(doc))), part.gram, part.span)[1].tolist())
+        full = [k for k in range(len(part.ids)) if sum(dict(zip(*part.lists[w][:2])).get(k, 0) for w in q if w in part.lists) >= 1 - 1e-9]
+        assert part.retrieve(q) == full
+
+
+def test_blanks_do_not_matter():
+    rnd = random.Random(4)
+    items = list(enumerate(texts(60, 30, 1)))
+    index = ItemIndex(items)
+    for i, t in items:
+        ws = t.split()
+        a = rnd.randrange(20)
+        letters = "".join(ws[a : a + 10])
+        cuts = sorted(rnd.sample(range(1, len(letters)), 6))
+        torn = " ".join(letters[x:y] for x, y in zip([0, *cuts], [*cuts, len(letters)]))
+        for form in (letters, torn, f"{ws[a]}-{''.join(ws[a + 1 : a + 3])} {' '.join(ws[a + 3 : a + 10])}", "pre fix " * 200 + torn + " after" * 300):
+            assert i in index.leaked(form)
+        short = "".join(ws[a + 1 : a + 10])
+        assert i not in index.leaked(short)
+
+
+def test_short_items_have_their_own_terms():
+    index = ItemIndex([(1, "ab"), (2, "no"), (3, " ".join(f"word{i}" for i in range(12)))])
+    assert index.leaked("a b c") == [1] and index.leaked("xy") == [] and index.leaked("word0 " + " ".join(f"word{i}" for i in range(12))) == [3]
 
 
 def test_spelling_does_not_hide_a_passage():
@@ -46,5 +68,6 @@ def test_operator_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, f"a {item} b"), (3, f"a {item} b"), (4, long), (5, "these only four short words here"), (None, item)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.item_id) for r in find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect())
     assert got == [(0, 1), (3, 1), (3, 1), (4, 1), (5, 4)]
+    assert sorted(((r.doc_id or 0), r.item_id) for r in find_leaks(docs, "doc_id", "text", items, "item_id", "text", max_items=1).collect()) == got
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
