@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.operators.latest import latest_per_key
-from corvina.operators.orphans import apply_deltas, existence_delta, orphan_rows, reaching_keys, reference_delta
+from corvina.operators.orphans import OrphanState, advance, existence_delta, orphan_rows, redirect_delta, reference_delta
 from corvina.session import cut, table
 
 
@@ -27,12 +27,14 @@ def product_references(spark: SparkSession, d: str) -> DataFrame:
     return mentions.unionByName(redirects)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    refs = product_references(spark, d)
-    products = table(spark, d, "products").select(F.col("id").alias("key")).where("key is not null").distinct()
-    reached = reaching_keys(table(spark, d, "product_id_redirects"), products, "old_product_id", "canonical_product_id")
-    state = apply_deltas(None, existence_delta(products, F.col("key")), existence_delta(reached, F.col("key")), reference_delta(refs, F.col("key")))
-    lost = cut(orphan_rows(refs, cut(state)))
+def _products(spark: SparkSession, d: str) -> DataFrame:
+    """key and since when, once a product."""
+    return table(spark, d, "products").where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min("created_at").alias("since"))
+
+
+def _report(spark: SparkSession, d: str, refs: DataFrame, state: OrphanState) -> DataFrame:
+    """table_name, record_id and period of the references to the state's orphans."""
+    lost = cut(orphan_rows(refs, state.orphans()))
     # only the lost rows need their post: the posts are reduced to those first
     wanted = lost.where("post_id is not null").select(F.col("post_id").alias("id")).distinct()
     posts = table(spark, d, "social_posts").select("id", "published_at", "updated_at").join(wanted, "id", "left_semi")
@@ -40,6 +42,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lost.join(month, "post_id", "left").select("table_name", "record_id", F.coalesce("period", "of_post").alias("period")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The first state, from nothing: all rows are one delta."""
+    refs = product_references(spark, d)
+    state = advance(None, [existence_delta(_products(spark, d), F.col("key")), reference_delta(refs, F.col("key"))], redirect_delta(table(spark, d, "product_id_redirects"), "old_product_id", "canonical_product_id"))
+    return _report(spark, d, refs, state)
+
+
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same report from a state that was kept and moved on: products and redirects of 2026 arrive as deltas to the state
+    of the end of 2025, which is written and read again in between."""
+    refs, products, redirects = product_references(spark, d), _products(spark, d), table(spark, d, "product_id_redirects")
+    old, new = (lambda x, at: x.where(F.col(at) < "2026-01-01")), (lambda x, at: x.where(~F.coalesce(F.col(at) < "2026-01-01", F.lit(False))))
+    ways = lambda x: redirect_delta(x, "old_product_id", "canonical_product_id")
+    state = advance(None, [existence_delta(old(products, "since"), F.col("key")), reference_delta(refs, F.col("key"))], ways(old(redirects, "created_at")))
+    state = OrphanState(*[cut(t) for t in state.tables().values()])
+    state = advance(state, [existence_delta(new(products, "since"), F.col("key"))], ways(new(redirects, "created_at")))
+    return _report(spark, d, refs, state)
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("table_name", "period").agg(F.count("*").alias("orphans"))
 
@@ -65,8 +86,9 @@ lost as (
 )
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p4_found": p4_found, "p4_incremental": p4_incremental, "p4_report": p4_report}
 SQL = {
     "p4_found": P4_CTE + "select table_name, record_id, period from lost",
+    "p4_incremental": P4_CTE + "select table_name, record_id, period from lost",
     "p4_report": P4_CTE + "select table_name, period, count(*) as orphans from lost group by all",
 }

@@ -9,7 +9,7 @@ from corvina.operators.grouping import linked_groups
 from corvina.operators.keep import best_merged, collapse, distinct_in_order, job_merge, keep_best, keep_first, top_n
 from corvina.operators.latest import latest_per_key
 from corvina.operators.merge import assign_ids, ignoring, new_if_given, ordered_pairs, remap, replace_children, sticky, upsert
-from corvina.operators.orphans import apply_deltas, existence_delta, orphan_keys, orphan_rows, reaching_keys, reference_delta, snapshot_delta
+from corvina.operators.orphans import OrphanState, advance, apply_deltas, existence_delta, orphan_keys, orphan_rows, reaching_keys, redirect_delta, reference_delta, snapshot_delta
 from corvina.operators.pairs import match_faults, nearest_captions, one_to_one, similar_products
 
 
@@ -86,7 +86,7 @@ def test_orphans(spark):
     have = spark.createDataFrame([(10,), (None,)], "id long")
     state = apply_deltas(None, reference_delta(refs, F.col("ref")), existence_delta(have, F.col("id")))
     assert rows(orphan_keys(state)) == [(11, 2), (12, 1)]
-    assert rows(orphan_rows(refs.withColumnRenamed("ref", "key"), state), "row") == [(2,), (3,), (4,)]
+    assert rows(orphan_rows(refs.withColumnRenamed("ref", "key"), orphan_keys(state)), "row") == [(2,), (3,), (4,)]
     # a late record heals, a deletion makes orphans, a withdrawn reference ends them; the order does not matter
     late, gone, less = existence_delta(spark.createDataFrame([(11,)], "id long"), F.col("id")), existence_delta(have, F.col("id"), -1), reference_delta(refs.where("row = 4"), F.col("ref"), -1)
     for order in ((late, gone, less), (less, late, gone)):
@@ -106,6 +106,41 @@ def test_redirects(spark):
     assert reaching_keys(r, have.limit(0), "o", "n").count() == 0
 
 
+def test_state_moved_by_deltas_equals_a_recount(spark, tmp_path):
+    import random
+
+    from corvina.store import Store
+
+    rnd, store = random.Random(5), Store(spark, str(tmp_path))
+    edge = lambda: (rnd.randrange(1, 40), rnd.randrange(1, 50))
+    have, ways = set(rnd.sample(range(30, 50), 6)), [edge() for _ in range(40)]
+    refs = spark.createDataFrame([(i,) for i in range(1, 50)], "key long")
+    keys = lambda s: spark.createDataFrame([(k,) for k in s], "key long")
+    pairs = lambda s: spark.createDataFrame(list(s), "o long, n long")
+    state = advance(None, [existence_delta(keys(have), F.col("key")), reference_delta(refs, F.col("key"))], redirect_delta(pairs(ways), "o", "n"))
+    for step in range(3):
+        gone, come = set(rnd.sample(sorted(have), 2)), {rnd.randrange(1, 50)} - have
+        less, more = rnd.sample(ways, 8), [edge() for _ in range(5)]
+        have = have - gone | come
+        for w in less:
+            ways.remove(w)
+        ways += more
+        store.write(state.tables())
+        state = OrphanState(*[store.read(n) for n in state.tables()])
+        deltas = [existence_delta(keys(gone), F.col("key"), -1), existence_delta(keys(come), F.col("key"))]
+        state = advance(state, deltas, redirect_delta(pairs(less), "o", "n", -1).unionByName(redirect_delta(pairs(more), "o", "n")))
+        good = set(have)
+        while more := {a for a, b in ways if b in good} - good:
+            good |= more
+        assert {k for (k,) in rows(state.orphans(), "key")} == set(range(1, 50)) - good, step
+    # nothing new changes nothing; an exit that goes takes its circle along
+    same = advance(state, [])
+    assert rows(same.orphans()) == rows(state.orphans())
+    ring = advance(None, [existence_delta(keys([9]), F.col("key")), reference_delta(keys([1]), F.col("key"))], redirect_delta(pairs([(1, 2), (2, 3), (3, 1), (3, 9)]), "o", "n"))
+    assert rows(ring.orphans()) == [] and rows(advance(ring, [existence_delta(keys([9]), F.col("key"), -1)]).orphans()) == [(1, 1)]
+    assert advance(None, [existence_delta(keys([]), F.col("key"))]).orphans().count() == 0
+
+
 def best_by_hand(left, right, threshold=0.86, days=3):
     out = {}
     for i, bl, t, d in left:
