@@ -6,11 +6,12 @@ Everything here works on folded text (consistent form, no case, no accents), so
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from corvina.llm.lookalike import fold
 
-# Product types and what else they are called (folded).
+# Product types and what else they are called (folded). More are mined from the data (vocabulary.py).
 TYPES = {
     "yuz temizleme jeli": ["temizleyici jel", "cleansing gel", "yuz temizleyici jel", "yuz temizleme jel", "face wash"],
     "sampuan": ["shampoo", "sampuani"],
@@ -26,10 +27,13 @@ TYPES = {
     "sac bakim yagi": ["hair oil", "sac yagi"],
     "nemlendirici krem": ["moisturizing cream", "nem kremi", "nemlendirici kremi", "moisturising cream"],
     "gunes kremi": ["sunscreen", "gunes koruyucu", "sun cream", "gunes koruyucu krem"],
+    "el kremi": ["hand cream"], "dudak balmi": ["lip balm"], "far paleti": ["eyeshadow palette", "eye shadow palette"], "temizleyici kopuk": ["cleansing foam", "foam cleanser"],
+    "gul suyu": ["rose water"], "temizleme sutu": ["cleansing milk"], "dis macunu": ["toothpaste"], "deodorant": ["deodorants", "roll on"], "goz kremi": ["eye cream"], "dus jeli": ["shower gel", "body wash"],
+    "sac kremi": ["conditioner", "hair conditioner"], "sac maskesi": ["hair mask"], "micellar water": ["misel su", "micellar su"], "sabun": ["soap"], "kapatici": ["concealer"], "aydinlatici": ["highlighter"],
+    "oje": ["nail polish", "nail lacquer"], "kas kalemi": ["eyebrow pencil", "brow pencil"], "goz kalemi": ["eye pencil", "eyeliner"], "kagit maske": ["sheet mask"], "makyaj bazi": ["primer", "makeup primer"],
+    "dudak parlaticisi": ["lip gloss"], "pudra": ["powder", "face powder"], "tiras kopugu": ["shaving foam"], "vucut yagi": ["body oil"], "ayak kremi": ["foot cream"],
 }
-# Kinds of goods no reference entry names; with one of these a name means something else.
-OTHER_GOODS = ["el kremi", "dudak balmi", "far paleti", "temizleyici kopuk", "gul suyu", "temizleme sutu"]
-# Words of shops, not of the product (folded).
+# Words of shops, not of the product (folded). More are mined from the data (vocabulary.py).
 FILLER = [
     "hediyelik", "orijinal", "stokta", "kampanyali", "yeni", "new", "best seller", "cok satan", "sok fiyat", "hizli teslimat",
     "ucretsiz kargo", "%100 orijinal urun", "orijinal urun", "%100 orijinal", "resmi distributor garantili", "tum ciltler icin", "all skin types",
@@ -52,8 +56,6 @@ def _abbreviated(name: str) -> str:
     return " ".join(w[:3] for w in name.split())
 
 
-TYPE_OF = {**{t: t for t in TYPES}, **{s: t for t, names in TYPES.items() for s in names}}
-_SHORT_TYPES = {_abbreviated(s): t for s, t in reversed(TYPE_OF.items())}
 _INGREDIENT_OF = {**{i: i for i in INGREDIENTS}, **{s: i for i, names in INGREDIENTS.items() for s in names}}
 
 
@@ -65,10 +67,6 @@ _NUMBER = r"(\d+(?:[.,]\d+)?)"
 _SIZE = re.compile(rf"(?<![\w.,]){_NUMBER}\s*(fl\s*\.?\s*oz|ml|cc|cl|lt|litre|l|gram|gr|g|kg|oz)\b\.?(?:\s*\.)?")
 _SPF = re.compile(r"\b(?:spf|gkf)\s*[-:]?\s*(\d+)\s*\+?|(?<![\w.,])(\d+)\s*\+?\s*(?:spf|gkf)\b")
 _STRENGTH = re.compile(rf"(?:%\s*{_NUMBER}|(?<![\w.,]){_NUMBER}\s*%)\s*({_any(_INGREDIENT_OF)})\b|\b({_any(_INGREDIENT_OF)})\s*(?:%\s*{_NUMBER}|{_NUMBER}\s*%)")
-_FILLER = re.compile(rf"(?<![\w%])(?:{_any(FILLER)})(?!\w)")
-_TYPE = re.compile(rf"(?<!\w)({_any(TYPE_OF)})(?!\w)")
-_OTHER = re.compile(rf"(?<!\w)(?:{_any(OTHER_GOODS)})(?!\w)")
-_SHORT = re.compile(rf"(?<!\w)({'|'.join(re.escape(s).replace(r'\ ', r'\.\s*') for s in sorted(_SHORT_TYPES, key=len, reverse=True))})\.(?!\w)")
 _NAME = r"[^\W\d_][\w']*"
 #: A shade's number with its name: after a word for shade, padded with a zero or with a hyphen the name follows, else it precedes.
 _SHADE = re.compile(
@@ -76,12 +74,35 @@ _SHADE = re.compile(
     rf"|(?<![\w.,%])(?P<b>\d{{1,3}})-{_NAME}|(?<![\w.,%])(?P<c>0\d{{2}})(?![\w%]|[.,]\d)(?:\s+{_NAME})?|(?:(?<![\w']){_NAME}\s+)?(?<![\w.,%])(?P<d>\d{{1,2}})(?![\w%]|[.,]\d)"
 )
 _WORDS = re.compile(r"[a-z0-9']+")
-_CLEAN_FORM = re.compile(r"[^\W\d_][\w']*(?: [^\W\d_][\w']*)?\+?")
+_CLEAN_FORM = re.compile(r"[^\W\d_][\w']*(?: [^\W\d_][\w']*)*\+?")
 
 
 _GLUED_AND = re.compile(r"(?<=[^\W\d_])(?:ve|and)(?=[A-ZÇĞİÖŞÜ])")
 
 
+class Vocabulary:
+    """What types are called, and words of shops. types: other name (or itself) -> type, all folded; filler: phrases."""
+
+    def __init__(self, types: dict[str, str], filler: Iterable[str]):
+        self.types, self.filler = types, sorted(set(filler))
+        # names of equal length in the order of the alphabet: the same expressions wherever they are built
+        self.short = {_abbreviated(x): t for x, t in sorted(types.items(), reverse=True)}
+        self.known = frozenset(types.values())
+        self.names_of: dict[str, list[str]] = {}
+        for x, t in types.items():
+            self.names_of.setdefault(t, []).append(compact(x))
+        self.type_re = re.compile(rf"(?<!\w)({_any(types)})(?!\w)" if types else r"(?!)")
+        self.filler_re = re.compile(rf"(?<![\w%])(?:{_any(self.filler)})(?!\w)" if self.filler else r"(?!)")
+        self.short_re = re.compile(rf"(?<!\w)({'|'.join(re.escape(x).replace(r'\ ', r'\.\s*') for x in sorted(self.short, key=lambda x: (-len(x), x)))})\.(?!\w)" if self.short else r"(?!)")
+
+    def __reduce__(self):
+        return Vocabulary, (self.types, self.filler)
+
+    def more(self, types: dict[str, str], filler: Iterable[str] = ()) -> Vocabulary:
+        """With further names; what is known already stays."""
+        return Vocabulary({**types, **self.types}, [*self.filler, *filler])
+
+
 @dataclass
 class Listing:
     brand: str = ""  # folded words without extras
@@ -91,7 +112,6 @@ class Listing:
     strength: str | None = None
     shade: str | None = None
     plus: bool = False
-    other: bool = False
     line: str | None = None  # only of a cleanly written name
     rest: list[str] = field(default_factory=list)  # words that no part accounts for, in order
 
@@ -115,17 +135,18 @@ def size_of(number: str, unit: str) -> str:
     return f"{round(x, 2):g}{base}"
 
 
-def _clean_line(text: str, found: Listing) -> str | None:
+def _clean_line(text: str, found: Listing, vocabulary: Vocabulary) -> str | None:
     """The line of a cleanly written name: line, type, size, then at most one more part, and nothing else."""
     if not (found.kind and found.size):
         return None
-    head, _, tail = text.partition(next((t for t in TYPES if re.search(rf"(?<!\w){t}(?!\w)", text)), "\x02"))
+    head, _, tail = text.partition(kind[1] if (kind := vocabulary.type_re.search(text)) and kind[1] in vocabulary.known else "\x02")
     head = head.strip()
     return head if _CLEAN_FORM.fullmatch(head) and re.fullmatch(rf"\s*\x00(?:\s*\x00|\s+\d{{1,3}} {_NAME})?\s*", tail) else None
 
 
-def read(brand: str | None, name: str | None) -> Listing:
+def read(brand: str | None, name: str | None, vocabulary: Vocabulary | None = None) -> Listing:
     """The parts of a listing. Null and empty names give an empty listing."""
+    v = vocabulary or SEED
     out = Listing(brand=fold_brand(brand))
     text = fold(name).replace("™", " ").replace("®", " ")
     if not text.strip():
@@ -151,16 +172,15 @@ def read(brand: str | None, name: str | None) -> Listing:
     if m:
         out.size = size_of(m[1], m[2])
     clean = text
-    text = _FILLER.sub(" \x01 ", text)
-    out.other = bool(_OTHER.search(text))
-    text, m = take(_TYPE, text)
+    text = v.filler_re.sub(" \x01 ", text)
+    text, m = take(v.type_re, text)
     if m:
-        out.kind = TYPE_OF[re.sub(r"\s+", " ", m[1])]
+        out.kind = v.types[re.sub(r"\s+", " ", m[1])]
     else:
-        text, m = take(_SHORT, text)
+        text, m = take(v.short_re, text)
         if m:
-            out.kind = _SHORT_TYPES[re.sub(r"[.\s]+", " ", m[1]).strip()]
-    trusted = _clean_line(clean, out) if "\x01" not in text else None
+            out.kind = v.short[re.sub(r"[.\s]+", " ", m[1]).strip()]
+    trusted = _clean_line(clean, out, v) if "\x01" not in text else None
     if trusted:  # here the shade is the last part, its number first
         m = re.search(rf"(\d{{1,3}}) {_NAME}\s*$", clean)
         out.shade = str(int(m[1])) if m else None
@@ -173,3 +193,6 @@ def read(brand: str | None, name: str | None) -> Listing:
     out.plus = bool(re.search(r"\w\+(?!\w)", text))
     out.rest = [w for w in _WORDS.findall(text.replace("&", " ")) if len(w) > 1 or w.isalpha()]
     return out
+
+
+SEED = Vocabulary({**{t: t for t in TYPES}, **{s: t for t, names in TYPES.items() for s in names}}, FILLER)
