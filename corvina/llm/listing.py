@@ -74,6 +74,7 @@ _SHADE = re.compile(
     rf"|(?<![\w.,%])(?P<b>\d{{1,3}})-{_NAME}|(?<![\w.,%])(?P<c>0\d{{2}})(?![\w%]|[.,]\d)(?:\s+{_NAME})?|(?:(?<![\w']){_NAME}\s+)?(?<![\w.,%])(?P<d>\d{{1,2}})(?![\w%]|[.,]\d)"
 )
 _WORDS = re.compile(r"[a-z0-9']+")
+_DIGIT = re.compile(r"\d")
 _CLEAN_FORM = re.compile(r"[^\W\d_][\w']*(?: [^\W\d_][\w']*)*\+?")
 
 
@@ -161,14 +162,22 @@ def read(brand: str | None, name: str | None, vocabulary: Vocabulary | None = No
         return text[: m.start()] + " \x00 " + text[m.end() :], m
 
     text = re.sub(r"(\w)['’](\w)", r"\1'\2", text)
-    text, m = take(_STRENGTH, text)
+    # most names have no number, and a search for nothing costs as much as one for something
+    digits = _DIGIT.search(text) is not None
+    m = None
+    if digits and "%" in text:
+        text, m = take(_STRENGTH, text)
     if m:
         number, what = (m[1] or m[2], m[3]) if m[3] else (m[5] or m[6], m[4])
         out.strength = f"{float(number.replace(',', '.')):g}% {_INGREDIENT_OF[re.sub(r'\s+', ' ', what)]}"
-    text, m = take(_SPF, text)
+    m = None
+    if digits:
+        text, m = take(_SPF, text)
     if m:
         out.spf = m[1] or m[2]
-    text, m = take(_SIZE, text)
+    m = None
+    if digits:
+        text, m = take(_SIZE, text)
     if m:
         out.size = size_of(m[1], m[2])
     clean = text
@@ -176,7 +185,7 @@ def read(brand: str | None, name: str | None, vocabulary: Vocabulary | None = No
     text, m = take(v.type_re, text)
     if m:
         out.kind = v.types[re.sub(r"\s+", " ", m[1])]
-    else:
+    elif "." in text:
         text, m = take(v.short_re, text)
         if m:
             out.kind = v.short[re.sub(r"[.\s]+", " ", m[1]).strip()]
@@ -187,7 +196,9 @@ def read(brand: str | None, name: str | None, vocabulary: Vocabulary | None = No
         out.plus, out.line = trusted.endswith("+"), trusted.rstrip("+")
         out.rest = out.line.split()
         return out
-    text, m = take(_SHADE, text)
+    m = None
+    if digits:
+        text, m = take(_SHADE, text)
     if m:
         out.shade = str(int(m["a"] or m["b"] or m["c"] or m["d"]))
     out.plus = bool(re.search(r"\w\+(?!\w)", text))
