@@ -2,8 +2,10 @@
 
 Every source is cut into blocks of equal size in tokens. Block j of a source of weight w is released at (j - 1) / w and due
 at j / w, counted in blocks of the whole; among the released blocks the one due first is next. No source is ever a whole
-block ahead of or behind its weight. The weights are multiples of 1 / SLOTS, so after SLOTS blocks all sources are exactly
-even and the schedule repeats: one period is computed on the driver, and every block finds its place from its number alone.
+block ahead of or behind its weight. The weights are fractions with a common denominator, so after that many blocks all sources are
+exactly even and the schedule repeats: one period is computed on the driver, and every block finds its place from its number alone.
+Shares as written (decimals) are kept exactly while their period has at most MAX_SLOTS blocks; else they are rounded to
+multiples of 1 / SLOTS.
 
 The size of the whole is the greatest at which no source has to be repeated more than it may; so the target shares hold
 for all sources there are, and a scarce one limits the whole rather than its own share. Sources that are missing cannot
@@ -16,7 +18,8 @@ import base64
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
+from math import lcm
 from pathlib import Path
 
 import pandas as pd
@@ -28,8 +31,10 @@ from corvina.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Blocks in a period; the weights are rounded to multiples of its inverse.
-SLOTS = 10_000
+#: Blocks in the longest period that is kept exactly, and in the one of rounded weights.
+MAX_SLOTS, SLOTS = 100_000, 10_000
+#: Setting of the session that names the folder of the tokenizers.
+TOKENIZERS_SETTING = "corvina.tokenizers"
 BLOCK_TOKENS = 2_048
 MAX_SOURCES = 5_000
 #: Buckets for the running token counts: documents of a source are spread by hash over this many per million.
@@ -50,8 +55,9 @@ def encoder(folder: str, vocabulary: str):
     return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, keep: list[str], text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """keep's columns and tokens (int); null and empty texts have none."""
+def count_tokens(df: DataFrame, keep: list[str], text: str, tokenizers: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """keep's columns and tokens (int); null and empty texts have none. tokenizers: the folder, else the session's setting."""
+    tokenizers = tokenizers or df.sparkSession.conf.get(TOKENIZERS_SETTING, TOKENIZERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(tokenizers, vocabulary)
@@ -62,8 +68,16 @@ def count_tokens(df: DataFrame, keep: list[str], text: str, tokenizers: str = TO
     return df.select(*keep, F.col(text).alias("_t")).mapInPandas(run, f"{kinds}, tokens long")
 
 
-def slots_of(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole slots of a period, by largest remainder; a positive weight gets at least one. They sum to slots."""
+def slots_of(weights: dict[str, float], slots: int | None = None) -> dict[str, int]:
+    """Whole slots of a period. Without slots the shortest period that keeps the weights as written exactly, up to MAX_SLOTS; else
+    (SLOTS beyond that) by largest remainder: a positive weight gets at least one, and they sum to slots."""
+    if slots is None:
+        exact = {s: Fraction(repr(w)) for s, w in weights.items()}
+        whole = sum(exact.values())
+        period = reduce(lcm, ((w / whole).denominator for w in exact.values()), 1)
+        if period <= MAX_SLOTS:
+            return {s: int(w / whole * period) for s, w in exact.items()}
+        slots = SLOTS
     total = sum(weights.values())
     exact = {s: w / total * slots for s, w in weights.items()}
     got = {s: max(1, int(x)) for s, x in exact.items()}
@@ -120,7 +134,13 @@ def _group_deadline(j: int, c: int, n: int) -> int:
     return -(-k * n // (n - c))
 
 
-def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, slots: int = SLOTS, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def counted_documents(df: DataFrame, key: str, source: str, text: str, tokenizers: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """key, source, tokens of all documents with a source and a token."""
+    rows = df.where(F.col(source).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("_x"))
+    return cut(count_tokens(rows, ["key", "source"], "_x", tokenizers, vocabulary).where("tokens > 0"))
+
+
+def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, slots: int | None = None, tokenizers: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """The mixed order: key, source, repeat (from 1), block, slot, place, tokens.
 
     slot orders the blocks of the whole, place (a token offset in the source's stream) the documents of a block; sort by
@@ -129,14 +149,17 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, blo
     No document is left out or cut to fit: the whole ends with whole periods of documents, so shares are off by at most a
     block a source. Sources with a null or non-positive share or no repeats count as not targeted. Empty input: empty result.
     """
-    spark = df.sparkSession
-    counted = count_tokens(df.where(F.col(source).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("_x")), ["key", "source"], "_x", tokenizers, vocabulary)
-    docs = cut(counted.where("tokens > 0"))
+    return mix_counted(counted_documents(df, key, source, text, tokenizers, vocabulary), targets, block_tokens, slots).withColumnRenamed("key", key)
+
+
+def mix_counted(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, slots: int | None = None) -> DataFrame:
+    """mix of documents whose tokens are counted (counted_documents)."""
+    spark = docs.sparkSession
     plan = plan_of(docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), targets, slots)
-    schema = f"`{key}` {dict(df.dtypes)[key]}, source string, repeat int, block long, slot long, place long, tokens long"
     if not plan:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"key {dict(docs.dtypes)['key']}, source string, repeat int, block long, slot long, place long, tokens long")
     counts = {p["source"]: p["slots"] for p in plan}
+    slots = sum(counts.values())
     seen: dict[str, int] = {}
     period = []
     for t, s in enumerate(pfair_period(counts)):
@@ -158,10 +181,10 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, blo
     placed = placed.withColumn("place", F.col("start") + (F.col("repeat") - 1).cast("long") * F.col("all_tokens")).where(F.col("place") < F.col("take"))
     placed = placed.withColumn("block", F.floor(F.col("place") / block_tokens)).withColumn("nth", F.pmod("block", "slots"))
     out = placed.join(F.broadcast(slot_of), ["source", "nth"])
-    return out.select(F.col("key").alias(key), "source", "repeat", "block", (F.floor(F.col("block") / F.col("slots")) * slots + F.col("at")).alias("slot"), "place", "tokens")
+    return out.select("key", "source", "repeat", "block", (F.floor(F.col("block") / F.col("slots")) * slots + F.col("at")).alias("slot"), "place", "tokens")
 
 
-def plan_of(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS) -> list[dict]:
+def plan_of(sizes: DataFrame, targets: DataFrame, slots: int | None = None) -> list[dict]:
     """Per present and targeted source: tokens, docs, slots, take (tokens in the whole) and whole (repetitions begun).
 
     sizes has one row a source (at most MAX_SOURCES of them meet a target; checked), so this is a small list."""
@@ -172,6 +195,7 @@ def plan_of(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS) -> list[di
     if not rows:
         return []
     counts = slots_of({r["source"]: r["share"] for r in rows}, slots)
+    slots = sum(counts.values())
     whole = min(Fraction(r["tokens"] * r["repeats"] * slots, counts[r["source"]]) for r in rows)
     plan = []
     for r in rows:
@@ -180,11 +204,28 @@ def plan_of(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS) -> list[di
     return plan
 
 
-def mix_report(mixed: DataFrame, source: str, targets: DataFrame) -> DataFrame:
-    """Per target: target_share, tokens, documents, actual_share of the whole, repeats (the most any document has)."""
+def mix_report(mixed: DataFrame, source: str, targets: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per target: target_share, max_repeats, tokens and documents in the whole, repeats (the most any document has), actual_share, and
+    furthest_off: how many blocks the order is ahead of or behind the shares of the sources there are, at worst, after any slot.
+
+    documents (counted_documents): also the tokens the source has and how many of its documents and tokens were not taken.
+    """
     got = mixed.groupBy(source).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("repeat").alias("repeats"))
-    out = targets.select(F.col("source").alias(source), "target_share", "max_repeats").join(got, source, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    # the targets are few (plan_of checks it), so their sum over one window is
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    return out.select(source, "target_share", "max_repeats", zero("tokens"), zero("documents"), zero("repeats"), F.coalesce(F.round(share, 6), F.lit(0.0)).alias("actual_share"))
+    # the targets are few (plan_of checks it), so their sums over one window are
+    all_ = Window.partitionBy(F.lit(0))
+    out = targets.select(F.col("source").alias(source), "target_share", "max_repeats").join(got, source, "left")
+    share = F.col("tokens") / F.sum("tokens").over(all_)
+    weight = F.when(F.col("tokens") > 0, F.col("target_share")) / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(all_)
+    out = out.withColumn("_share", share).withColumn("_weight", weight)
+    blocks = mixed.select(source, "block", "slot").distinct().join(F.broadcast(out.select(source, "_weight")), source)
+    off = blocks.groupBy(source).agg(F.max(F.greatest(F.col("_weight") * F.col("slot") - F.col("block"), F.col("block") + 1 - F.col("_weight") * (F.col("slot") + 1))).alias("furthest_off"))
+    out = out.join(off, source, "left")
+    columns = [source, "target_share", "max_repeats", zero("tokens"), zero("documents"), zero("repeats"), F.coalesce(F.round("_share", 6), F.lit(0.0)).alias("actual_share"), F.round("furthest_off", 3).alias("furthest_off")]
+    if documents is not None:
+        has = documents.groupBy(F.col("source").alias(source)).agg(F.sum("tokens").alias("_has"), F.count("*").alias("_docs"))
+        once = mixed.where("repeat = 1").groupBy(source).agg(F.sum("tokens").alias("_used"), F.count("*").alias("_used_docs"))
+        out = out.join(has, source, "left").join(once, source, "left")
+        left = lambda a, b: F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
+        columns += [F.coalesce("_has", F.lit(0)).alias("source_tokens"), left("_has", "_used").alias("tokens_not_taken"), left("_docs", "_used_docs").alias("documents_not_taken")]
+    return out.select(*columns)

@@ -10,7 +10,7 @@ from corvina.llm.components import connected_components
 from corvina.llm.leakage import find_leaks
 from corvina.llm.lookalike import normalize_lookalikes
 from corvina.llm.mapping import NO_MATCH, map_rows
-from corvina.llm.mixing import mix, mix_report
+from corvina.llm.mixing import counted_documents, mix, mix_counted, mix_report
 from corvina.llm.neardup import near_duplicate_groups
 from corvina.llm.pii import find_personal, redact_personal
 from corvina.llm.sentences import split_sentences
@@ -104,7 +104,8 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mix_report(p9_mix(spark, d), "source", table(spark, d, "mix_targets"))
+    documents, targets = counted_documents(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text"), table(spark, d, "mix_targets")
+    return mix_report(cut(mix_counted(documents, targets)), "source", targets, documents)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corvina.llm.mixing import count_tokens, mix, mix_report, pfair_period, slots_of
+from corvina.llm.mixing import count_tokens, counted_documents, mix, mix_report, pfair_period, slots_of
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -19,6 +19,8 @@ def test_less_than_a_block_off(seed):
 def test_slots_sum_up():
     assert sum(slots_of({"a": 0.3, "b": 0.3, "c": 0.4000001}, 7).values()) == 7
     assert slots_of({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
+    assert slots_of({"a": 0.03, "b": 0.97}) == {"a": 3, "b": 97} and slots_of({"a": 0.5, "b": 0.25, "c": 0.15}) == {"a": 10, "b": 5, "c": 3}
+    assert sum(slots_of({"a": 0.123456789, "b": 0.9}).values()) == 10_000
 
 
 def rows():
@@ -42,6 +44,18 @@ def test_mix(spark):
     for s, g in got.groupby("source"):
         g = g.sort_values("place")
         assert (g.place.iloc[1:].values == (g.place + g.tokens).iloc[:-1].values).all()
+    # after every slot each source is less than a block off its weight
+    counts, at = slots_of({"big": 0.5, "mid": 0.25, "small": 0.15}, 100), {}
+    order = got[["slot", "source", "block"]].drop_duplicates().sort_values("slot")
+    assert not order.slot.duplicated().any()
+    for s, g in order.groupby("source"):
+        for slot, block in zip(g.slot, g.block):
+            w = counts[s] / 100
+            assert w * slot - block < 1 and block + 1 - w * (slot + 1) < 1
+    exact = mix(df, "doc_id", "source", "text", targets, block_tokens=64)
+    full = {r.source: r for r in mix_report(exact, "source", targets, counted_documents(df, "doc_id", "source", "text")).collect()}
+    assert all(r.furthest_off < 1 for r in full.values() if r.tokens) and full["gone"].furthest_off is None
+    assert full["big"].source_tokens - full["big"].tokens_not_taken == full["big"].tokens and full["small"].documents_not_taken == 0
     report = {r.source: r for r in mix_report(m, "source", targets).collect()}
     assert report["gone"].tokens == 0 and report["gone"].actual_share == 0 and report["big"].documents == (got.source == "big").sum()
 
