@@ -22,7 +22,9 @@ Step = Callable[[str], str]
 _TURKISH = str.maketrans("ıİşŞğĞüÜöÖçÇ", "iissgguuoocc")
 _LIGATURES = str.maketrans({"ı": "i", "œ": "oe", "æ": "ae"})
 _QUOTES = str.maketrans({"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "−": "-"})
-_SOUNDS = r"music|müzik|applause|alkış|laughter|gülme|gülüşmeler|kahkaha"
+# What captions put in square brackets for sounds; the longest file name, and the one of nothing.
+SOUND_TAGS = ("müzik", "music", "alkış", "applause", "gülüşmeler", "laughter", "kahkaha", "ses", "sound", "sessizlik", "silence")
+FILE_NAME_LENGTH, NO_NAME = 140, "untitled_video"
 
 
 def _sub(pattern: str, by: str) -> Step:
@@ -71,9 +73,9 @@ CHAINS: dict[str, tuple[Step, ...]] = {
     "evidence": (compatible, squeezed, folded),
     "typographic": (compatible, lambda s: s.translate(_QUOTES), squeezed, folded),
     "keyword": (html.unescape, folded, squeezed),
-    "transcript": (html.unescape, _sub(r"<[^>]+>", ""), _sub(rf"(?i)[\[(](?:{_SOUNDS})[\])]", " "), _sub("[♪♫]+", " "), squeezed),
+    "transcript": (html.unescape, _sub("<[^>]+>", " "), _sub(rf"(?i)\[\s*(?:{'|'.join(SOUND_TAGS)})\s*\]", " "), _sub("[♪♫]", " "), squeezed),
     "brand": (str.strip, lambda s: s.lstrip("@"), str.strip),
-    "filename": (html.unescape, _sub(r'[<>:"/\\|?*\x00-\x1f]', "_"), squeezed, lambda s: s[:140].rstrip(" .")),
+    "filename": (html.unescape, _sub(r'[<>:"/\\|?*]', " "), squeezed, lambda s: (s.rstrip(". ") or NO_NAME)[:FILE_NAME_LENGTH].strip()),
 }
 
 

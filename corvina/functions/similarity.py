@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,27 +41,85 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit a letter of a: no alignment matches more letters, at a tenth of its time."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        if m := at.get(c, 0) & row:
+            row = (row + m) | (row - m)
+    return len(a) - (row & full).bit_count()
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each text has the letters of each of 64 classes: what two bags have in common is no less than two texts have."""
+    out = np.zeros((len(texts), 64), dtype=np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % 64, minlength=64)
+    return out
+
+
+def sequence_ratio_from(a: Column, b: Column, least: float) -> Column:
+    """sequence_ratio where it is least or more, else null. Lengths, letters and common subsequences are looked at first; only
+    pairs they allow are aligned, so none that counts is lost. Equal texts of a batch are prepared once, equal pairs aligned once."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        codes, texts = pd.factorize(pd.concat([a, b]).fillna(""))
+        x, y = codes[: len(a)], codes[len(a) :]
+        texts = list(texts)
+        lengths, bags = np.array([len(t) for t in texts]), _bags(texts)
+        sums = np.maximum(1, lengths[x] + lengths[y])
+        bound = 2 * np.concatenate([np.minimum(bags[x[i : i + 4096]], bags[y[i : i + 4096]]).sum(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0)]) / sums
+        out, known = [None] * len(x), {}
+        for k in np.flatnonzero(bound >= least - 1e-12).tolist():
+            i, j = pair = (int(x[k]), int(y[k]))
+            if pair not in known:
+                s, t = texts[i], texts[j]
+                known[pair] = ratio(s, t) if s == t or 2 * common_letters(s, t) / (len(s) + len(t)) >= least - 1e-12 else 0.0
+            if known[pair] >= least:
+                out[k] = known[pair]
+        return pd.Series(out, dtype="float64")
+
+    return run(a, b)
+
+
 def ratio_can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the lengths allow a ratio of at least least: no pair above it is lost."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Order-free similarity of two texts of words, 0 to 100 with one decimal: the better of as written and sorted."""
+def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Order-free similarity of two texts of words, 0 to 100 with one decimal: the better of as written and sorted. What is below
+    least is null (with a least above 0)."""
     in_order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    return F.round(100 * F.greatest(sequence_ratio(a, b), sequence_ratio(in_order(a), in_order(b))), 1)
+    one = (lambda x, y: sequence_ratio_from(x, y, (least - 0.06) / 100)) if least > 0 else sequence_ratio
+    score = F.round(100 * F.greatest(one(a, b), one(in_order(a), in_order(b))), 1)
+    return F.when(score >= least, score) if least > 0 else score
+
+
+def worth(query_word: str, candidate: str) -> float:
+    """What one word of a candidate is worth to one of the query: all if equal or nearly so, less if somewhat alike. The aligner
+    runs only where the words' lengths and common letters allow FAR at all."""
+    if query_word == candidate:
+        return 1.0
+    m = SequenceMatcher(None, query_word, candidate)
+    if m.real_quick_ratio() < FAR or m.quick_ratio() < FAR:
+        return 0.0
+    r = m.ratio()
+    return 1.0 if r >= NEAR else FAR_WORTH if r >= FAR else 0.0
 
 
-def covered(query: list[str], candidate: list[str]) -> float:
-    """The mean worth of the query's words: found, nearly found, somewhat found."""
-    have, worth = set(candidate), 0.0
-    for w in query:
-        if w in have:
-            worth += 1
-        elif candidate:
-            best = max(SequenceMatcher(None, w, c).ratio() for c in candidate)
-            worth += 1 if best >= NEAR else FAR_WORTH if best >= FAR else 0
-    return worth / len(query) if query else 0.0
+def coverage(words: list[str], texts: pd.Series) -> list[float]:
+    """The mean worth of the query's words in each text, each by its best partner there. Every distinct word of the texts is looked at
+    once, whatever number of texts it is in."""
+    split = [t.split() for t in texts]
+    known = list({w for ws in split for w in ws})
+    by_word = {w: [worth(q, w) for q in words] for w in known}
+    return [sum(map(max, zip(*(by_word[w] for w in ws)))) / len(words) if ws and words else 0.0 for ws in split]
 
 
 def search_aliases(text: Column, category: Column) -> Column:
@@ -78,18 +137,30 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def match_score(query: str, brand: Column, name: Column, candidate: Column) -> Column:
+def match_score(query: str, brand: Column, name: Column, candidate: Column, cutoff: float = 0.0) -> Column:
     """0 to 100: how well products answer a query. query and the columns are search-normalized; candidate is all that a
-    product is found by. Equal and contained texts are settled in the plan, only the rest is aligned."""
+    product is found by. Equal and contained texts are settled in the plan; of the rest whole texts are aligned only where words
+    and letters can give a score of cutoff (what cannot gets 0)."""
     words = query.split()
 
     @F.pandas_udf("double")
     def aligned(b: pd.Series, n: pd.Series, c: pd.Series) -> pd.Series:
+        b, n, c = b.fillna(""), n.fillna(""), c.fillna("")
         out = []
-        for x, y, z in zip(b.fillna(""), n.fillna(""), c.fillna("")):
-            cover = covered(words, z.split())
-            r = lambda t: SequenceMatcher(None, query, t).ratio()
-            score = max(92 * cover + 8 * r(z), 96 * r(x), 94 * r(y))
+
+        def part(weight: float, base: float, text: str, least: float) -> float:
+            m = SequenceMatcher(None, query, text)
+            if base + weight * m.real_quick_ratio() < least or base + weight * m.quick_ratio() < least:
+                return 0.0
+            return base + weight * m.ratio()
+
+        brands: dict[str, float] = {}
+        for x, y, z, cover in zip(b, n, c, coverage(words, c)):
+            score = part(8, 92 * cover, z, cutoff)
+            if x not in brands:
+                brands[x] = part(96, 0, x, cutoff)
+            score = max(score, brands[x])
+            score = max(score, part(94, 0, y, max(score, cutoff)))
             out.append(min(100.0, max(score, 88 + 12 * cover) if x and x in query else score))
         return pd.Series(out, dtype="float64")
 

@@ -9,12 +9,12 @@ from corvina.session import cut
 
 
 def linked_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, group): the least id each end of an edge is linked with, directly or not.
+    """(id, group): the least id each end of an edge is linked with, directly or not. Ids can be of any type with an order, structs too.
 
     Minimum labels travel along the edges and then jump to their own label, a join and an aggregate a round, written to the
     shared folder; rounds grow with the logarithm of the longest chain for the usual shapes. Null ends are no links.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(e.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l")))
     while True:

@@ -92,3 +92,22 @@ def remap(df: DataFrame, column: str, mapping: DataFrame, old: str, new: str, dr
     m = mapping.select(F.col(old).alias("_from"), F.col(new).alias("_to"))
     out = df.join(m, F.col(column) == F.col("_from"), "inner" if drop_unmapped else "left")
     return out.withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
+
+
+def final_targets(redirects: DataFrame, old: str, new: str) -> DataFrame:
+    """_from, _to: for every former key the key its redirects end at, each former key once.
+
+    Of several redirects of a key the one to the least key counts. Keys that run into a circle end nowhere and have no row; null
+    ends lead nowhere. Steps double every round, so rounds are the logarithm of the longest chain.
+    """
+    step = redirects.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(F.col(old).alias("_from")).agg(F.min(new).alias("_to"))
+    step = cut(step)
+    ends = step.select(F.col("_to").alias("_k")).distinct().join(step.select(F.col("_from").alias("_k")), "_k", "left_anti")
+    at = cut(step.join(ends.select(F.col("_k").alias("_to"), F.lit(True).alias("_done")), "_to", "left").select("_from", "_to", F.coalesce("_done", F.lit(False)).alias("_done")))
+    for _ in range(at.count().bit_length() + 1):
+        nxt = at.select(F.col("_from").alias("_to"), F.col("_to").alias("_n"), F.col("_done").alias("_d"))
+        open_ = at.where("not _done").join(nxt, "_to", "left").select("_from", F.coalesce("_n", "_to").alias("_to"), F.coalesce("_d", F.lit(False)).alias("_done"))
+        if open_.isEmpty():
+            break
+        at = cut(at.where("_done").unionByName(open_))
+    return at.where("_done").select("_from", "_to")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corvina.functions.dates import days_apart
 from corvina.functions.keys import comparable_brand, feature_words, numeric_words, protected_words
 from corvina.functions.normalize import normalize
-from corvina.functions.similarity import ratio_can_reach, sequence_ratio, token_set_ratio
+from corvina.functions.similarity import ratio_can_reach, sequence_ratio_from, token_set_ratio
+
+from corvina.session import cut
 
 
 def nearest_captions(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.86, max_days: int = 3) -> DataFrame:
@@ -20,7 +22,7 @@ def nearest_captions(left: DataFrame, right: DataFrame, block: str, threshold: f
     max_days. Ties: the nearer date, unknown dates last, then the least right id. Posts with empty captions never match.
     """
     cols = lambda d, s: d.select(F.col("id").alias(f"{s}_id"), F.col(block).alias("block"), normalize("caption", "caption").alias(f"{s}_text"), F.col("day").alias(f"{s}_day")).where(f"{s}_text <> ''")
-    left_, right_ = cols(left, "l"), cols(right, "r")
+    left_, right_ = cut(cols(left, "l")), cut(cols(right, "r"))
     exact = left_.join(right_, (left_["block"] == right_["block"]) & (F.col("l_text") == F.col("r_text"))).select("l_id", "r_id", F.lit("exact").alias("match_type"), F.lit(1.0).alias("similarity"), days_apart(F.col("l_day"), F.col("r_day")).alias("days"))
     open_ = left_.join(exact.select("l_id").distinct(), "l_id", "left_anti")
     width = max_days + 1
@@ -28,15 +30,25 @@ def nearest_captions(left: DataFrame, right: DataFrame, block: str, threshold: f
     lefts = open_.withColumn("b", F.explode(F.when(F.col("l_day").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(bucket(F.col("l_day")) - 1, bucket(F.col("l_day")), bucket(F.col("l_day")) + 1))))
     rights = right_.withColumn("b", bucket(F.col("r_day")))
     dated = lefts.where("l_day is not null").join(rights, ["block", "b"])
-    undated = open_.where("l_day is null").join(right_, "block").unionByName(open_.where("l_day is not null").join(right_.where("r_day is null"), "block"))
+    # posts of unknown date meet all of the block whose length can be near: by length classes, of which near ones are neighbours
+    undated = _by_length(open_.where("l_day is null"), right_, threshold).unionByName(_by_length(open_.where("l_day is not null"), right_.where("r_day is null"), threshold))
     some = dated.drop("b").unionByName(undated.select(*[c for c in dated.columns if c != "b"]))
     some = some.withColumn("days", days_apart(F.col("l_day"), F.col("r_day"))).where((F.col("days").isNull() | (F.col("days") <= max_days)) & ratio_can_reach(F.col("l_text"), F.col("r_text"), threshold))
-    near = some.withColumn("similarity", sequence_ratio(F.col("l_text"), F.col("r_text"))).where(F.col("similarity") >= threshold).select("l_id", "r_id", F.lit("near").alias("match_type"), "similarity", "days")
+    near = some.withColumn("similarity", sequence_ratio_from(F.col("l_text"), F.col("r_text"), threshold)).where("similarity is not null").select("l_id", "r_id", F.lit("near").alias("match_type"), "similarity", "days")
     rank = F.struct(F.col("similarity"), -F.coalesce(F.col("days"), F.lit(999)), -F.col("r_id"))
     best = exact.unionByName(near).groupBy("l_id").agg(F.max_by(F.struct("r_id", "match_type", "similarity", "days"), rank).alias("x"))
     return best.select(F.col("l_id").alias("left_id"), F.col("x.r_id").alias("right_id"), F.col("x.match_type").alias("match_type"), F.col("x.similarity").alias("similarity"), F.col("x.days").alias("date_distance_days"))
 
 
+def _by_length(lefts: DataFrame, rights: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a block whose lengths allow the threshold, and some more. A class spans the greatest factor two such lengths can
+    be apart, so they are in one class or in neighbouring ones; a hot block is spread over its classes."""
+    span = (2 - threshold) / threshold
+    of = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(span)) + 1e-9).cast("long")
+    near = F.array(of("l_text") - 1, of("l_text"), of("l_text") + 1)
+    return lefts.withColumn("_c", F.explode(near)).join(rights.withColumn("_c", of("r_text")), ["block", "_c"]).drop("_c")
+
+
 def one_to_one(matches: DataFrame) -> DataFrame:
     """The best match per right post; the others go (nearest_captions decides for each left post alone)."""
     rank = F.struct(F.col("similarity"), -F.coalesce(F.col("date_distance_days"), F.lit(999)), -F.col("left_id"))
@@ -79,7 +91,7 @@ def similar_products(products: DataFrame, minimum: float = 67.0) -> DataFrame:
     clash = (F.coalesce("c_a", F.lit("")) != "") & (F.coalesce("c_b", F.lit("")) != "") & (F.col("c_a") != F.col("c_b")) & (F.col("c_a") != "other") & (F.col("c_b") != "other")
     x = x.withColumns({"same": same, "clash": clash, "num": numeric_words(F.col("w_a")) != numeric_words(F.col("w_b")), "typ": protected_words(F.col("w_a")) != protected_words(F.col("w_b"))})
     text = lambda c: F.when(~F.col("same") | F.col("clash"), F.array_join(c, " "))
-    x = x.withColumn("score", F.when(F.col("same") & ~F.col("clash"), 100.0).otherwise(token_set_ratio(text("w_a"), text("w_b"))))
+    x = x.withColumn("score", F.when(F.col("same") & ~F.col("clash"), 100.0).otherwise(token_set_ratio(text("w_a"), text("w_b"), minimum)))
     decision = F.when(F.col("same") & ~F.col("clash"), "safe").otherwise("review")
     reason = F.when(F.col("clash"), "category_conflict").when(F.col("same"), "exact_normalized_tokens").when(F.col("num"), "variant_or_strength_conflict").when(F.col("typ"), "formula_or_type_conflict").otherwise("fuzzy_candidate")
     return x.select("id_a", "id_b", decision.alias("decision"), "score", reason.alias("reason")).where((F.col("decision") == "safe") | (F.col("score") >= minimum))

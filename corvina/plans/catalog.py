@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvina.functions.keys import family_key, identity_key
 from corvina.functions.normalize import normalize
@@ -15,19 +16,24 @@ from corvina.session import table
 
 PRODUCT = ["brand", "product_name", "category", "normalized_brand", "normalized_product_name", "search_text", "identity_key", "verification_status", "merchant_slug", "created_at"]
 POST = ["influencer_id", "platform", "external_post_id", "caption", "original_url", "published_at", "caption_sha256", "prompt_version", "model", "created_at"]
+# What tells a sunscreen in a product's text.
 SUNSCREEN = ["gunes krem", "gunes koruyucu", "sun cream", "suncream", "sunscreen", "sun protection", "spf"]
 
 
-def products(spark: SparkSession, d: str) -> DataFrame:
-    return latest_per_key(table(spark, d, "products"), ["id"], ["updated_at"], PRODUCT)
+def products(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest row of every product with the columns asked for (all without), which are all that is read."""
+    return latest_per_key(table(spark, d, "products"), ["id"], ["updated_at"], columns or PRODUCT)
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
-    return latest_per_key(table(spark, d, "social_posts"), ["id"], ["updated_at"], POST)
+def posts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest row of every post with the columns asked for (all without), which are all that is read."""
+    return latest_per_key(table(spark, d, "social_posts"), ["id"], ["updated_at"], columns or POST)
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "social_post_products").distinct()
+def mentions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every mention once with its id and the columns asked for (all without): repeated rows are equal in full."""
+    t = table(spark, d, "social_post_products")
+    return (t.select("id", *columns) if columns else t).distinct()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,10 +43,10 @@ def ascii_lower(c: Column) -> Column:
 
 def approved_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Approved mentions with their post, creator and product."""
-    m = mentions(spark, d).where("status = 'approved' and product_id is not null").select(F.col("id").alias("mention_id"), "social_post_id", "product_id", "confidence", "evidence_text")
-    p = posts(spark, d).select(F.col("id").alias("social_post_id"), "influencer_id", "platform", "external_post_id", "original_url", "published_at")
+    m = mentions(spark, d, "social_post_id", "product_id", "confidence", "evidence_text", "status").where("status = 'approved' and product_id is not null").select(F.col("id").alias("mention_id"), "social_post_id", "product_id", "confidence", "evidence_text")
+    p = posts(spark, d, "influencer_id", "platform", "external_post_id", "original_url", "published_at").select(F.col("id").alias("social_post_id"), "influencer_id", "platform", "external_post_id", "original_url", "published_at")
     i = table(spark, d, "influencers").select(F.col("id").alias("influencer_id"), F.col("slug").alias("influencer_slug"), "display_name")
-    c = products(spark, d).select(F.col("id").alias("product_id"), "brand", "product_name", "category")
+    c = products(spark, d, "brand", "product_name", "category").withColumnRenamed("id", "product_id")
     return m.join(p, "social_post_id").join(i, "influencer_id").join(c, "product_id")
 
 
@@ -92,16 +98,17 @@ def search(df: DataFrame, raw: str, code: str = "all", limit: int = 24, cutoff:
     """The best answers to a query among roll-up rows, with match_score. A number finds the product of that id, if there is
     one; an empty query finds nothing."""
     rows, query = in_category(df, code), raw.strip()
-    if query.isascii() and query.isdigit():
-        exact = rows.where(F.col("product_id") == int(query)).withColumn("match_score", F.lit(100.0))
-        if not exact.isEmpty():
-            return exact
+    number = int(query) if query.isascii() and query.isdigit() else None
     wanted = normalized(query, "search")
     if not wanted:
         return rows.withColumn("match_score", F.lit(0.0)).limit(0)
-    scored = found_by(rows).withColumn("match_score", match_score(wanted, F.col("_b"), F.col("_n"), F.col("_all"))).where(F.col("match_score") >= cutoff)
-    best = scored.orderBy(F.desc("match_score"), F.desc("influencer_count"), F.desc("review_count"), F.desc("social_post_count"), F.lower("brand"), F.lower("product_name"), "product_id")
-    return best.limit(limit).select(*rows.columns, "match_score")
+    scored = found_by(rows).withColumn("match_score", match_score(wanted, F.col("_b"), F.col("_n"), F.col("_all"), cutoff))
+    named = F.lit(False) if number is None else F.col("product_id") == number
+    scored = scored.withColumn("_named", named).withColumn("match_score", F.when(F.col("_named"), 100.0).otherwise(F.col("match_score"))).where(F.col("match_score") >= cutoff)
+    best = scored.orderBy(F.desc("_named"), F.desc("match_score"), F.desc("influencer_count"), F.desc("review_count"), F.desc("social_post_count"), F.lower("brand"), F.lower("product_name"), "product_id").limit(limit)
+    if number is not None:  # over the few rows left: the product of that id alone, if it is there
+        best = best.withColumn("_any", F.max("_named").over(Window.partitionBy(F.lit(0)))).where("_named or not _any")
+    return best.select(*rows.columns, "match_score")
 
 
 def with_families(df: DataFrame, members: DataFrame, families: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def with_families(df: DataFrame, members: DataFrame, families: DataFrame) -> Dat
 def family_roll_up(df: DataFrame) -> DataFrame:
     """Variants of one family key: family, members, the one listed first, sums."""
     k = df.withColumn("family", family_key(F.col("brand"), F.col("product_name")))
-    return k.groupBy("family").agg(F.count("*").alias("members"), F.min("product_id").alias("representative"), F.sum("social_post_count").alias("social_post_count"), F.max("influencer_count").alias("influencer_count"))
+    return k.groupBy("family").agg(F.count("*").alias("members"), F.min("product_id").alias("representative"), F.sum("review_count").alias("review_count"), F.sum("social_post_count").alias("social_post_count"), F.max("influencer_count").alias("influencer_count"))
 
 
 def resolve(typed: DataFrame, catalog: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

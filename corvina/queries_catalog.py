@@ -15,7 +15,7 @@ from corvina.functions.normalize import normalize
 from corvina.operators.compare import changed, count_delta, fingerprint, stale
 from corvina.operators.grouping import linked_groups
 from corvina.operators.keep import best_merged, distinct_in_order, keep_best, keep_first, top_n
-from corvina.operators.merge import assign_ids, ordered_pairs, remap, replace_children, upsert
+from corvina.operators.merge import assign_ids, final_targets, ordered_pairs, remap, replace_children, upsert
 from corvina.operators.pairs import match_faults, nearest_captions, similar_products
 from corvina.plans import catalog as c
 from corvina.plans.metadata import checked_posts
@@ -69,15 +69,15 @@ def search_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 def zero_filled(spark: SparkSession, d: str) -> DataFrame:
     """Every product with its counts, zero where there is nothing (correlated counts as one aggregate and a left join)."""
-    m = c.mentions(spark, d).where("product_id is not null")
+    m = c.mentions(spark, d, "product_id", "social_post_id", "status").where("product_id is not null")
     n = m.groupBy("product_id").agg(F.count("*").alias("mentions"), F.count_if(F.col("status") == "approved").alias("approved"), F.countDistinct("social_post_id").alias("posts"))
-    out = c.products(spark, d).select(F.col("id").alias("product_id"), "brand", "product_name").join(n, "product_id", "left").fillna(0, ["mentions", "approved", "posts"])
+    out = c.products(spark, d, "brand", "product_name").withColumnRenamed("id", "product_id").join(n, "product_id", "left").fillna(0, ["mentions", "approved", "posts"])
     return out.withColumn("unapproved_only", (F.col("mentions") > 0) & (F.col("approved") == 0))
 
 
 def creators(spark: SparkSession, d: str) -> DataFrame:
     """Creators with an approved mention or a post of the last year there is: two existence tests under an or."""
-    m, p = c.mentions(spark, d), c.posts(spark, d)
+    m, p = c.mentions(spark, d, "social_post_id", "status"), c.posts(spark, d, "influencer_id", "published_at")
     ok = p.join(m.where("status = 'approved'").select(F.col("social_post_id").alias("id")), "id", "left_semi").select(F.col("influencer_id").alias("id")).distinct()
     late = p.where("published_at >= '2026-01-01'").select(F.col("influencer_id").alias("id")).distinct()
     i = table(spark, d, "influencers").select("id", "slug", "display_name")
@@ -86,18 +86,18 @@ def creators(spark: SparkSession, d: str) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """All counts of the status panel in one row."""
-    m = c.mentions(spark, d).agg(F.count("*").alias("mentions"), F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("status") == "review").alias("review"), F.count_if(F.col("product_id").isNull()).alias("unresolved"), F.lit(1).alias("_k"))
-    p = c.posts(spark, d).agg(F.count("*").alias("posts"), F.count_if(F.col("platform") == "instagram").alias("instagram"), F.countDistinct("influencer_id").alias("creators"), F.lit(1).alias("_k"))
-    return m.join(p, "_k").join(c.products(spark, d).agg(F.count("*").alias("products"), F.lit(1).alias("_k")), "_k").drop("_k")
+    m = c.mentions(spark, d, "status", "product_id").agg(F.count("*").alias("mentions"), F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("status") == "review").alias("review"), F.count_if(F.col("product_id").isNull()).alias("unresolved"), F.lit(1).alias("_k"))
+    p = c.posts(spark, d, "platform", "influencer_id").agg(F.count("*").alias("posts"), F.count_if(F.col("platform") == "instagram").alias("instagram"), F.countDistinct("influencer_id").alias("creators"), F.lit(1).alias("_k"))
+    return m.join(p, "_k").join(table(spark, d, "products").agg(F.count_distinct("id").alias("products"), F.lit(1).alias("_k")), "_k").drop("_k")
 
 
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return c.mentions(spark, d).groupBy("status", "status_reason", "match_method").agg(F.count("*").alias("n"), F.sum("confidence").alias("_s")).select("status", "status_reason", "match_method", "n", F.round("_s", 3).alias("confidence"))
+    return c.mentions(spark, d, "status", "status_reason", "match_method", "confidence").groupBy("status", "status_reason", "match_method").agg(F.count("*").alias("n"), F.sum("confidence").alias("_s")).select("status", "status_reason", "match_method", "n", F.round("_s", 3).alias("confidence"))
 
 
 def pending(spark: SparkSession, d: str) -> DataFrame:
     """The queue of names still to be settled: first spelling, references in order, occurrences."""
-    m = c.mentions(spark, d).where("status = 'review' and status_reason = 'pending_canonical_approval'")
+    m = c.mentions(spark, d, "extracted_brand", "extracted_product_name", "category", "status", "status_reason").where("status = 'review' and status_reason = 'pending_canonical_approval'")
     k = m.select("id", "extracted_brand", "extracted_product_name", "category", normalize("extracted_brand", "identity").alias("nb"), normalize("extracted_product_name", "identity").alias("nn"))
     first = lambda x: F.min_by(x, "id")
     return k.groupBy("nb", "nn").agg(
@@ -111,8 +111,8 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "catalog_reference").select(F.col("ref_id").alias("id"), "normalized_brand", "normalized_product_name", identity_key(F.col("brand"), F.col("product_name")).alias("identity_key"))
     # listings that carry an entry's identity key are other names of it
     by_key = r.groupBy("identity_key").agg(F.min("id").alias("canonical_product_id"))
-    aliases = c.products(spark, d).select("identity_key", "normalized_brand", "normalized_product_name").join(by_key, "identity_key").drop("identity_key")
-    t = c.mentions(spark, d).select(F.col("id").alias("ref"), F.col("extracted_brand").alias("brand"), F.col("extracted_product_name").alias("name"))
+    aliases = c.products(spark, d, "identity_key", "normalized_brand", "normalized_product_name").drop("id").join(by_key, "identity_key").drop("identity_key")
+    t = c.mentions(spark, d, "extracted_brand", "extracted_product_name").select(F.col("id").alias("ref"), F.col("extracted_brand").alias("brand"), F.col("extracted_product_name").alias("name"))
     return c.resolve(t, r, aliases)
 
 
@@ -121,44 +121,46 @@ def resolved_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalized_names(spark: SparkSession, d: str) -> DataFrame:
-    return c.products(spark, d).select("id", normalize("brand", "identity").alias("brand_key"), normalize("product_name", "identity").alias("name_key"), normalize(F.concat_ws(" ", "brand", "product_name", "category"), "identity").alias("search_key"))
+    return c.products(spark, d, "brand", "product_name", "category").select("id", normalize("brand", "identity").alias("brand_key"), normalize("product_name", "identity").alias("name_key"), normalize(F.concat_ws(" ", "brand", "product_name", "category"), "identity").alias("search_key"))
 
 
 def families(spark: SparkSession, d: str) -> DataFrame:
-    x = c.products(spark, d).select(F.col("id").alias("product_id"), "brand", "product_name").withColumn("social_post_count", F.lit(1)).withColumn("influencer_count", F.lit(1))
-    return c.family_roll_up(x).select("family", "members", "representative")
+    """All products by family: members, the one listed first, and their reviews, posts and creators (the most of a member)."""
+    counts = c.catalogue(spark, d).select("product_id", "review_count", "social_post_count", "influencer_count")
+    x = c.products(spark, d, "brand", "product_name").withColumnRenamed("id", "product_id").join(counts, "product_id", "left").fillna(0, ["review_count", "social_post_count", "influencer_count"])
+    return c.family_roll_up(x)
 
 
 def ranked_posts(spark: SparkSession, d: str) -> DataFrame:
     """The five latest posts of every creator and platform."""
     day = dashed(F.col("published_at"))
-    p = c.posts(spark, d).select("influencer_id", "platform", "id", day.alias("day"), shown(day).alias("shown"))
+    p = c.posts(spark, d, "influencer_id", "platform", "published_at").select("influencer_id", "platform", "id", day.alias("day"), shown(day).alias("shown"))
     return top_n(p, ["influencer_id", "platform"], [F.desc("day"), F.desc("id")], 5)
 
 
 def best_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The best mention of every post and candidate: approved first, then the most confident, then the first."""
-    m = c.mentions(spark, d).select("social_post_id", "candidate_key", "id", "status", "confidence")
+    m = c.mentions(spark, d, "social_post_id", "candidate_key", "status", "confidence")
     return keep_best(m, ["social_post_id", "candidate_key"], [(F.col("status") == "approved").cast("int"), F.col("confidence")], "id")
 
 
 def first_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions moved to their canonical product, the first of every product and post kept."""
-    r = table(spark, d, "product_id_redirects").select("old_product_id", "canonical_product_id").distinct()
-    m = c.mentions(spark, d).where("product_id is not null").select("id", "social_post_id", "product_id")
-    return keep_first(remap(m, "product_id", r, "old_product_id", "canonical_product_id"), ["product_id", "social_post_id"], "id")
+    """Mentions moved to the product their redirects end at, the first of every product and post kept."""
+    r = final_targets(table(spark, d, "product_id_redirects"), "old_product_id", "canonical_product_id")
+    m = c.mentions(spark, d, "social_post_id", "product_id").where("product_id is not null")
+    return keep_first(remap(m, "product_id", r, "_from", "_to"), ["product_id", "social_post_id"], "id")
 
 
 def merged_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Per post the mention of rising confidence with gaps filled from those before."""
-    m = c.mentions(spark, d).select("social_post_id", "id", "confidence", "product_id", "status_reason")
+    m = c.mentions(spark, d, "social_post_id", "confidence", "product_id", "status_reason")
     return best_merged(m, ["social_post_id"], "confidence", "id")
 
 
 def new_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids for typed names that no listing and no entry has, after the highest one, in the order of the name."""
-    r = c.mentions(spark, d).select(normalize("extracted_brand", "identity").alias("nb"), normalize("extracted_product_name", "identity").alias("nn")).distinct()
-    p = c.products(spark, d)
+    r = c.mentions(spark, d, "extracted_brand", "extracted_product_name").select(normalize("extracted_brand", "identity").alias("nb"), normalize("extracted_product_name", "identity").alias("nn")).distinct()
+    p = c.products(spark, d, "normalized_brand", "normalized_product_name")
     known = p.unionByName(table(spark, d, "catalog_reference"), allowMissingColumns=True).select(F.col("normalized_brand").alias("nb"), F.col("normalized_product_name").alias("nn"))
     return assign_ids(r.join(known, ["nb", "nn"], "left_anti"), "product_id", ["nb", "nn"], p.agg(F.max("id")).first()[0] or 0)
 
@@ -178,7 +180,7 @@ def upserted_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def cross_platform(spark: SparkSession, d: str) -> DataFrame:
     """Matches whose posts are both there, on different platforms, of one creator."""
-    m, p = match_pairs(spark, d), c.posts(spark, d).select("id", "platform", "influencer_id")
+    m, p = match_pairs(spark, d), c.posts(spark, d, "platform", "influencer_id")
     a, b = (p.select(F.col("id").alias(f"post_id_{s}"), F.col("platform").alias(f"p{s}"), F.col("influencer_id").alias(f"i{s}")) for s in "ab")
     return m.join(a, "post_id_a").join(b, "post_id_b").where("pa <> pb and ia = ib").select("post_id_a", "post_id_b", "similarity")
 
@@ -192,7 +194,7 @@ def unmatched_posts(spark: SparkSession, d: str) -> DataFrame:
     """Posts in no match, by an anti-join on both ends."""
     m = table(spark, d, "social_post_matches")
     ends = m.select(F.col("post_id_a").alias("id")).unionByName(m.select(F.col("post_id_b").alias("id"))).where("id is not null").distinct()
-    return c.posts(spark, d).select("id", "platform").join(ends, "id", "left_anti")
+    return c.posts(spark, d, "platform").join(ends, "id", "left_anti")
 
 
 def repost_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -203,15 +205,15 @@ def repost_groups(spark: SparkSession, d: str) -> DataFrame:
     a, b = (m.select("product_id", "influencer_id", F.col("id").alias(f"post_id_{s}"), F.col("platform").alias(f"p{s}"), F.col("day").alias(f"d{s}")) for s in "ab")
     e = e.join(a, "post_id_a").join(b, ["post_id_b", "product_id", "influencer_id"]).where("pa <> pb and (match_type = 'exact' or (match_type = 'near' and da = db and similarity >= 0.9))")
     # posts are linked within a product: both ids make one
-    node = lambda s: F.col("product_id") * F.lit(10**10) + F.col(s)
+    node = lambda s: F.struct("product_id", F.col(s).alias("post_id"))
     g = linked_groups(e.select(node("post_id_a").alias("a"), node("post_id_b").alias("b")), "a", "b")
-    return g.select(F.floor(F.col("id") / 10**10).alias("product_id"), (F.col("id") % 10**10).alias("post_id"), (F.col("group") % 10**10).alias("group_id"))
+    return g.select("id.product_id", "id.post_id", F.col("group.post_id").alias("group_id"))
 
 
 def cross_posts(spark: SparkSession, d: str) -> DataFrame:
     """For every Instagram post the most similar TikTok post of its creator; several may have the same one (cross_post_faults)."""
     day = to_day(F.col("published_at"), F.col("published_at"), F.lit(None).cast("double"))
-    p = c.posts(spark, d).select("id", "influencer_id", "caption", "platform", day.alias("day"))
+    p = c.posts(spark, d, "influencer_id", "caption", "platform", "published_at").select("id", "influencer_id", "caption", "platform", day.alias("day"))
     return nearest_captions(p.where("platform = 'instagram'"), p.where("platform = 'tiktok'"), "influencer_id")
 
 
@@ -221,24 +223,24 @@ def cross_post_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def product_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similar_products(c.products(spark, d).select("id", "brand", "product_name", "category"))
+    return similar_products(c.products(spark, d, "brand", "product_name", "category"))
 
 
 def same_words(spark: SparkSession, d: str) -> DataFrame:
     """Products of one brand with the same words in any order: grouped by the key itself, no pairs."""
-    p = c.products(spark, d).select("id", comparable_brand(F.col("brand")).alias("brand_key"), F.array_join(F.array_sort(feature_words(F.col("product_name"))), " ").alias("words"))
+    p = c.products(spark, d, "brand", "product_name").select("id", comparable_brand(F.col("brand")).alias("brand_key"), F.array_join(F.array_sort(feature_words(F.col("product_name"))), " ").alias("words"))
     return p.where("brand_key <> '' and words <> ''").groupBy("brand_key", "words").agg(F.count("*").alias("products"), F.min("id").alias("first_id")).where("products > 1")
 
 
 def same_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence texts of a post that stand for several products."""
-    m = c.mentions(spark, d).where("product_id is not null")
+    m = c.mentions(spark, d, "social_post_id", "evidence_text", "product_id").where("product_id is not null")
     return m.groupBy("social_post_id", F.lower(F.trim("evidence_text")).alias("evidence")).agg(F.countDistinct("product_id").alias("products")).where("products > 1")
 
 
 def leaked_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Mentions whose evidence names another product of the same post: the first such product."""
-    m = c.mentions(spark, d).where("product_id is not null").select("id", "social_post_id", "product_id", F.lower("evidence_text").alias("evidence"), F.lower(F.trim("extracted_product_name")).alias("name"))
+    m = c.mentions(spark, d, "social_post_id", "product_id", "evidence_text", "extracted_product_name").where("product_id is not null").select("id", "social_post_id", "product_id", F.lower("evidence_text").alias("evidence"), F.lower(F.trim("extracted_product_name")).alias("name"))
     o = m.select("social_post_id", F.col("id").alias("other_id"), F.col("product_id").alias("other"), F.col("name").alias("other_name")).where("length(other_name) >= 8")
     hit = m.join(o, "social_post_id").where("product_id <> other and instr(evidence, other_name) > 0")
     return hit.groupBy("id").agg(F.min("other_id").alias("other_id"))
@@ -246,7 +248,7 @@ def leaked_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_groups(spark: SparkSession, d: str) -> DataFrame:
     """Creators with posts of an old prompt: any, all, how many prompts, which."""
-    p = c.posts(spark, d).where("prompt_version is not null")
+    p = c.posts(spark, d, "influencer_id", "prompt_version").where("prompt_version is not null")
     g = p.groupBy("influencer_id").agg(F.bool_or(F.col("prompt_version") == "social-v1").alias("any_old"), F.bool_and(F.col("prompt_version") == "social-v4").alias("all_new"), F.countDistinct("prompt_version").alias("versions"), F.array_join(F.sort_array(F.collect_set("prompt_version")), ",").alias("list"))
     return g.where("any_old")
 
@@ -268,12 +270,12 @@ def dated_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def link_parts(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("original_url")
-    return c.posts(spark, d).select("id", domain(u).alias("domain"), canonical_url(u).alias("url"), merchant_name(domain(u)).alias("merchant"), in_domain(domain(u), F.lit("tok.example")).alias("tok"))
+    return c.posts(spark, d, "original_url").select("id", domain(u).alias("domain"), canonical_url(u).alias("url"), merchant_name(domain(u)).alias("merchant"), in_domain(domain(u), F.lit("tok.example")).alias("tok"))
 
 
 def hash_check(spark: SparkSession, d: str) -> DataFrame:
     """Posts whose stored hash is not their caption's, and in which state the extraction is: what has to run again."""
-    p = c.posts(spark, d)
+    p = c.posts(spark, d, "caption", "caption_sha256", "prompt_version")
     now = p.select("id", F.sha2("caption", 256).alias("caption_sha256"), F.lit("social-v4").alias("prompt_version"))
     return stale(p.select("id", "caption_sha256", "prompt_version"), now, ["id", "caption_sha256", "prompt_version"]).select("id", "caption_sha256")
 
@@ -281,13 +283,13 @@ def hash_check(spark: SparkSession, d: str) -> DataFrame:
 def changed_sources(spark: SparkSession, d: str) -> DataFrame:
     """Posts whose collected caption is another than the stored one."""
     raw = table(spark, d, "raw_post_metadata").where("id is not null").groupBy(F.col("id").alias("external_post_id")).agg(F.max_by("description", "row_id").alias("caption"))
-    p = c.posts(spark, d).where("platform = 'instagram'").groupBy("external_post_id").agg(F.max_by("caption", "id").alias("caption"))
+    p = c.posts(spark, d, "platform", "external_post_id", "caption").where("platform = 'instagram'").groupBy("external_post_id").agg(F.max_by("caption", "id").alias("caption"))
     return changed(p, raw, ["external_post_id"], ["caption"])
 
 
 def replaced_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions after those of the posts of 2026 were replaced by their approved ones: rows per platform."""
-    m, p = c.mentions(spark, d), c.posts(spark, d).select(F.col("id").alias("social_post_id"), "platform", "published_at")
+    m, p = c.mentions(spark, d, "social_post_id", "status"), c.posts(spark, d, "platform", "published_at").withColumnRenamed("id", "social_post_id")
     late = p.where("published_at >= '2026-01-01'").select("social_post_id")
     new = m.where("status = 'approved'").join(late, "social_post_id", "left_semi")
     after = replace_children(m, new, ["social_post_id"], late)
@@ -295,7 +297,7 @@ def replaced_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def platform_delta(spark: SparkSession, d: str) -> DataFrame:
-    p = c.posts(spark, d)
+    p = c.posts(spark, d, "platform", "created_at")
     count = lambda x: x.groupBy("platform").agg(F.count("*").alias("n"))
     return count_delta(count(p.where("created_at < '2026-01-01'")), count(p), "platform", "n")
 
@@ -309,14 +311,14 @@ def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_fields(spark: SparkSession, d: str) -> DataFrame:
-    m = c.mentions(spark, d)
+    m = c.mentions(spark, d, "raw_payload_json")
     j = F.from_json("raw_payload_json", "brand string, product_name string, category string, confidence double")
     return m.select("id", j.alias("j")).select("id", "j.brand", "j.product_name", "j.category", F.round("j.confidence", 3).alias("confidence"))
 
 
 def first_spellings(spark: SparkSession, d: str) -> DataFrame:
     """Brands as first typed, one spelling each."""
-    m = c.mentions(spark, d).where("extracted_brand is not null").select("id", "extracted_brand")
+    m = c.mentions(spark, d, "extracted_brand").where("extracted_brand is not null")
     return distinct_in_order(m, normalize("extracted_brand", "identity"), "id")
 
 
@@ -374,6 +376,33 @@ _CHECKED = f"""x as (select *, {_link('webpage_url')}, {_link('original_url')} f
       when {_PLAIN.format('webpage_url_account')} not in ('', {_PLAIN.format('channel')}) or {_PLAIN.format('original_url_account')} not in ('', {_PLAIN.format('channel')}) then 'other account'
       when day is null then 'no date' end as reason from y)"""
 
+_SIGNS = "regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(coalesce({0}, ''), '[™®©℠\ufe0f]', '', 'g'), '%', ' pct '), '&', ' and '), '([\\p{{L}}\\p{{N}}_])\\+([\\p{{L}}\\p{{N}}_])', '\\1 and \\2', 'g'), '\\s\\+\\s', ' and ', 'g'), '\\+', ' plus ', 'g')"
+
+
+def _key(brand: str, name: str) -> str:
+    """The identity key, for texts without compatibility characters."""
+    bare = lambda x: f"regexp_replace(regexp_replace({N1.format(_SIGNS.format(x))}, '[^a-z0-9 ]', ' ', 'g'), '([0-9])\\s+((?:cc|ml|gr|g|mg|oz)\\b)', '\\1\\2', 'g')"
+    words = f"list_filter(string_split_regex({bare(name)}, '\\s+'), lambda x: x not in ('', 'and', 've', 'the'))"
+    words = f"list_transform({words}, lambda x: case when regexp_matches(x, '^[0-9]+$') then coalesce(nullif(ltrim(x, '0'), ''), '0') else x end)"
+    return f"replace({bare(brand)}, ' ', '') || '|' || array_to_string(list_sort({words}), ' ')"
+
+
+_TABLES = {
+    "products": "brand category created_at:t id identity_key merchant_slug normalized_brand normalized_product_name product_name search_text updated_at:t verification_status",
+    "social_posts": "caption caption_sha256 created_at:t external_post_id extracted_at:t id influencer_id model original_url platform prompt_version published_at source_file updated_at:t",
+    "social_post_products": "candidate_key category confidence:f evidence_text extracted_brand extracted_product_name id match_method product_id raw_payload_json social_post_id status status_reason",
+    "influencers": "created_at:t display_name id slug updated_at:t",
+}
+
+
+def _fingerprint(name: str, columns: str) -> str:
+    """A table's fingerprint; columns by name, :t for times, :f for fractions."""
+    kinds = {"t": "epoch_us({})::varchar", "f": "printf('%.6f', {})", "": "{}::varchar"}
+    parts = [(x, k) for x, _, k in (y.partition(":") for y in columns.split())]
+    text = " || chr(31) || ".join(f"case when {x} is null then '-' else '+' || {kinds[k].format(x)} end" for x, k in sorted(parts))
+    return f"select '{name}' as table_name, count(*) as rows, bit_xor(('0x' || left(h, 15))::bigint) as checksum, sum(('0x' || left(h, 8))::bigint)::bigint as total from (select sha256({text}) as h from {name})"
+
+
 SQL = {
     "c1_approved_mentions": f"with {APPROVED} select * from a",
     "e2_catalogue": f"with {CATALOGUE} select * from c",
@@ -386,14 +415,28 @@ SQL = {
     "e11_status_counts": f"with {M} select status, status_reason, match_method, count(*) as n, round(sum(confidence), 3) as confidence from m group by 1, 2, 3",
     "e8_pending": f"with {M}, k as (select *, {N1.format('extracted_brand')} nb, {N1.format('extracted_product_name')} nn from m where status = 'review' and status_reason = 'pending_canonical_approval') select nb, nn, coalesce(first(extracted_brand order by id), '') as extracted_brand, first(extracted_product_name order by id) as extracted_product_name, first(category order by id) as category, string_agg('s:' || id, ';' order by id) as source_refs, count(*) as occurrences from k group by nb, nn",
     "d13_resolved_by_name": f"with {M}, k as (select normalized_brand nb, normalized_product_name nn, min(ref_id) pid from catalog_reference group by 1, 2) select m.id as ref, k.pid as product_id from m join k on k.nb = {N1.format('m.extracted_brand')} and k.nn = {N1.format('m.extracted_product_name')}",
+    "d13_resolved": f"""with {P}, {M}, r as (select ref_id, normalized_brand nb, normalized_product_name nn, {_key('brand', 'product_name')} ik from catalog_reference), e as (select nb, nn, min(ref_id) i from r group by 1, 2), k as (select ik, min(ref_id) i from r group by 1),
+      a as (select normalized_brand nb, normalized_product_name nn, min(k.i) i from p join k on k.ik = p.identity_key group by 1, 2),
+      t as (select id, extracted_brand, extracted_product_name, {N1.format('extracted_brand')} nb, {N1.format('extracted_product_name')} nn, {_key('extracted_brand', 'extracted_product_name')} ik from m)
+      select t.id as ref, t.extracted_brand as brand, t.extracted_product_name as name, coalesce(e.i, a.i, k.i) as product_id, case when e.i is not null then 'name' when a.i is not null then 'alias' when k.i is not null then 'identity' end as how
+      from t left join e on e.nb = t.nb and e.nn = t.nn left join a on a.nb = t.nb and a.nn = t.nn left join k on k.ik = t.ik""",
     "g20_new_ids": f"with {M}, t as (select distinct {N1.format('extracted_brand')} nb, {N1.format('extracted_product_name')} nn from m), k as (select normalized_brand nb, normalized_product_name nn from products union select normalized_brand, normalized_product_name from catalog_reference), x as (select * from t where not exists (select 1 from k where k.nb = t.nb and k.nn = t.nn)) select nb, nn, (select max(id) from products) + row_number() over (order by nb, nn) as product_id from x",
     "f9_checked_metadata": f"with {_CHECKED} select row_id, influencer_slug, external_post_id, published_at, caption_sha256, reason from z",
     "f9_metadata_reasons": f"with {_CHECKED} select coalesce(reason, 'accepted') as reason, count(*) as n from z group by 1",
     "n1_normalized_names": f"with {P} select id, normalized_brand as brand_key, normalized_product_name as name_key, search_text as search_key from p",
-    "e7_families": f"with {P}, f as (select id, {_N3.format('normalized_brand')} || '::' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({_FAMILY.format(_N3.format('normalized_product_name'))}, '\\s+', ' ', 'g')), ' '), lambda x: x not in ('', 'numara', 'numarasi', 'numarali')), lambda x: coalesce({_TYPES}[x], x)), ' ') as family from p) select family, count(*) as members, min(id) as representative from f group by 1",
+    "e7_families": f"with {CATALOGUE}, f as (select id, {_N3.format('normalized_brand')} || '::' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({_FAMILY.format(_N3.format('normalized_product_name'))}, '\\s+', ' ', 'g')), ' '), lambda x: x not in ('', 'numara', 'numarasi', 'numarali')), lambda x: coalesce({_TYPES}[x], x)), ' ') as family from p) select family, count(*) as members, min(id) as representative, sum(coalesce(review_count, 0))::bigint as review_count, sum(coalesce(social_post_count, 0))::bigint as social_post_count, max(coalesce(influencer_count, 0)) as influencer_count from f left join c on c.product_id = f.id group by 1",
     "g4_ranked_posts": f"with {S}, r as (select influencer_id, platform, id, {_DAY.format('published_at')} as day from s) select influencer_id, platform, id, day, substr(day, 9, 2) || '.' || substr(day, 6, 2) || '.' || substr(day, 1, 4) as shown from (select *, row_number() over (partition by influencer_id, platform order by day desc, id desc) rn from r) where rn <= 5",
     "g8_best_mentions": f"with {M} select social_post_id, candidate_key, id, status, confidence from (select *, row_number() over (partition by social_post_id, candidate_key order by case when status = 'approved' then 1 else 0 end desc, confidence desc, id) rn from m) where rn = 1",
-    "g7_first_mentions": f"with {M}, r as (select distinct old_product_id, canonical_product_id from product_id_redirects), x as (select m.id, m.social_post_id, coalesce(r.canonical_product_id, m.product_id) as product_id from m left join r on r.old_product_id = m.product_id where m.product_id is not null) select product_id, social_post_id, min(id) as id from x group by 1, 2",
+    "g7_first_mentions": f"""with recursive {M}, r as (select old_product_id o, min(canonical_product_id) n from product_id_redirects where old_product_id is not null and canonical_product_id is not null group by 1),
+      w as (select o as first, n as last, [o] as seen from r union all select w.first, r.n, list_append(w.seen, r.o) from w join r on r.o = w.last where not list_contains(w.seen, r.o)),
+      f as (select first, last from w where last not in (select o from r)), x as (select m.id, m.social_post_id, coalesce(f.last, m.product_id) as product_id from m left join f on f.first = m.product_id where m.product_id is not null)
+      select product_id, social_post_id, min(id) as id from x group by 1, 2""",
+    "g9_merged_mentions": f"""with {M}, x as (select id, social_post_id, confidence, product_id, status_reason, max(coalesce(confidence, '-infinity'::double)) over (partition by social_post_id order by id rows between unbounded preceding and 1 preceding) as top from m),
+      k as (select * from x where top is null or coalesce(confidence, '-infinity'::double) >= top)
+      select social_post_id, max(id) as id, arg_max(confidence, id) filter (confidence is not null) as confidence, arg_max(product_id, id) filter (product_id is not null) as product_id, arg_max(status_reason, id) filter (status_reason is not null) as status_reason from k group by 1""",
+    "c5_sunscreens": f"with {CATALOGUE}, p2 as (select id, trim(regexp_replace(normalized_brand || ' ' || normalized_product_name, '[^a-z0-9%+]+', ' ', 'g')) as t from p) select c.* from c join p2 on p2.id = c.product_id where "
+      + " or ".join(f"contains(t, '{w}')" for w in [*c.SUNSCREEN, "sun screen"]),
+    "e19_fingerprints": " union all ".join(_fingerprint(t, cols) for t, cols in _TABLES.items()),
     "b6_match_pairs": f"with {_PAIRS} select a as post_id_a, b as post_id_b, max(similarity) as similarity, min(date_distance_days) as date_distance_days, count(*) as records from e group by 1, 2",
     "b1_upserted_matches": f"with {_PAIRS}, o as (select a, b, max(similarity) x from e where match_type = 'exact' group by 1, 2), n as (select a, b, max(similarity) x from e where match_type <> 'exact' group by 1, 2) select coalesce(n.a, o.a) as post_id_a, coalesce(n.b, o.b) as post_id_b, coalesce(o.x, n.x) as similarity, case when n.a is null then 'kept' when o.a is null then 'inserted' else 'updated' end as action from o full join n on o.a = n.a and o.b = n.b",
     "d10_cross_platform": f"with {S}, {_PAIRS}, g as (select a, b, max(similarity) similarity from e group by 1, 2) select a as post_id_a, b as post_id_b, similarity from g join s x on x.id = a join s y on y.id = b where x.platform <> y.platform and x.influencer_id = y.influencer_id",

@@ -27,11 +27,6 @@ def product_references(spark: SparkSession, d: str) -> DataFrame:
     return mentions.unionByName(redirects)
 
 
-def _products(spark: SparkSession, d: str) -> DataFrame:
-    """key and since when, once a product."""
-    return table(spark, d, "products").where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min("created_at").alias("since"))
-
-
 def _report(spark: SparkSession, d: str, refs: DataFrame, state: OrphanState) -> DataFrame:
     """table_name, record_id and period of the references to the state's orphans."""
     lost = cut(orphan_rows(refs, state.orphans()))
@@ -45,14 +40,15 @@ def _report(spark: SparkSession, d: str, refs: DataFrame, state: OrphanState) ->
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The first state, from nothing: all rows are one delta."""
     refs = product_references(spark, d)
-    state = advance(None, [existence_delta(_products(spark, d), F.col("key")), reference_delta(refs, F.col("key"))], redirect_delta(table(spark, d, "product_id_redirects"), "old_product_id", "canonical_product_id"))
+    state = advance(None, [existence_delta(table(spark, d, "products").select("id").distinct(), F.col("id")), reference_delta(refs, F.col("key"))], redirect_delta(table(spark, d, "product_id_redirects"), "old_product_id", "canonical_product_id"))
     return _report(spark, d, refs, state)
 
 
 def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
     """The same report from a state that was kept and moved on: products and redirects of 2026 arrive as deltas to the state
     of the end of 2025, which is written and read again in between."""
-    refs, products, redirects = product_references(spark, d), _products(spark, d), table(spark, d, "product_id_redirects")
+    refs, redirects = product_references(spark, d), table(spark, d, "product_id_redirects")
+    products = table(spark, d, "products").where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min("created_at").alias("since"))
     old, new = (lambda x, at: x.where(F.col(at) < "2026-01-01")), (lambda x, at: x.where(~F.coalesce(F.col(at) < "2026-01-01", F.lit(False))))
     ways = lambda x: redirect_delta(x, "old_product_id", "canonical_product_id")
     state = advance(None, [existence_delta(old(products, "since"), F.col("key")), reference_delta(refs, F.col("key"))], ways(old(redirects, "created_at")))

@@ -2,6 +2,7 @@ import hashlib
 import json
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,14 +10,14 @@ from corvina.functions import dates, links
 from corvina.functions.keys import family_key, feature_words, identity_key, numeric_words, protected_words
 from corvina.functions.nested import canonical_json_sha256, nodes, page_parts, richness, text_list, values_of
 from corvina.functions.normalize import CHAINS, normalize, normalized, position_map
-from corvina.functions.similarity import covered, match_score, ratio, ratio_can_reach, search_aliases, sequence_ratio, token_set_ratio
+from corvina.functions.similarity import coverage, match_score, ratio, ratio_can_reach, search_aliases, sequence_ratio, sequence_ratio_from, token_set_ratio
 
 
 @pytest.mark.parametrize("chain, text, want", [
     ("identity", "  Şık  GÜNEŞ ışığı, İyi! ", "sik gunes isigi, iyi!"), ("identity", None, ""), ("identity", "ﬁ Ｌ", "fi l"), ("search", "Dr.Jart+ %5 & ıÖ", "dr jart+ %5 io"), ("link", "B5+ %1", "b5 1"),
     ("plain", "Œuvre Iı", "oeuvre ii"), ("display", "Æ-x", "ae x"), ("image", "ışık", "s k"), ("audit", "№5 %+", "no5 %+"), ("caption", "Replying to @ali #Bak https://x.y/z GÜZEL!", "bak güzel"), ("caption", None, ""),
-    ("evidence_tokens", "Çok-iyi", "cok iyi"), ("dedupe", " - Ruj: ", "ruj"), ("evidence", "Ａ  B", "a b"), ("typographic", "“A” – ’b’", "\"a\" - 'b'"), ("keyword", "A &amp; B", "a & b"), ("transcript", "a<b>c</b> [Music] ♪ d", "ac d"),
-    ("brand", " @@Marka ", "Marka"), ("filename", 'a/b: "c"?', "a_b_ _c__"),
+    ("evidence_tokens", "Çok-iyi", "cok iyi"), ("dedupe", " - Ruj: ", "ruj"), ("evidence", "Ａ  B", "a b"), ("typographic", "“A” – ’b’", "\"a\" - 'b'"), ("keyword", "A &amp; B", "a & b"), ("transcript", "a<b>c</b> [Music] ♪ d", "a c d"), ("transcript", "x [ SES ] y (müzik) [gülme]\nz", "x y (müzik) [gülme] z"),
+    ("brand", " @@Marka ", "Marka"), ("filename", 'a/b: "c"?', "a b c"), ("filename", "..", "untitled_video"), ("filename", "x" * 200 + ".", "x" * 140),
 ])
 def test_chains(chain, text, want):
     assert normalized(text, chain) == want
@@ -58,8 +59,26 @@ def test_ratio(spark):
     assert ratio("ab", "ab") == 1
 
 
+def test_ratio_with_a_bound(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [(None, "a"), ("", ""), ("same", "same"), ("a" * 300, "a" * 299 + "b")]
+    for _ in range(400):
+        a = "".join(rnd.choices("abcdeşğ ", k=rnd.randint(0, 60)))
+        b = "".join(c for c in a if rnd.random() > 0.15) + "".join(rnd.choices("abz", k=rnd.randint(0, 6)))
+        pairs.append((a, b))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.r for r in df.select("i", sequence_ratio_from(F.col("a"), F.col("b"), 0.86).alias("r")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        exact = ratio(a or "", b or "")
+        assert got[i] == exact if exact >= 0.86 else got[i] is None
+    assert 0 < sum(x is not None for x in got.values()) < len(pairs)
+
+
 def test_coverage_and_score(spark):
-    assert covered(["gunes", "kremi"], ["gunes", "krem"]) == 1.0 and covered(["zz"], ["gunes"]) == 0 and covered([], ["a"]) == 0
+    assert coverage(["gunes", "kremi"], pd.Series(["gunes krem", "", "krem"])) == [1.0, 0.0, 0.5] and coverage(["zz"], pd.Series(["gunes"])) == [0.0]
+    assert sum(coverage([], pd.Series(["a"])) or [0]) == 0
     df = spark.createDataFrame([(1, "dolca", "nem kremi", "dolca nem kremi"), (2, "x", "y", "x y dolca"), (3, "kozen", "serum", "kozen serum"), (4, "", "", "")], "i int, b string, n string, c string")
     s = {r.i: r.s for r in df.select("i", match_score("dolca", F.col("b"), F.col("n"), F.col("c")).alias("s")).collect()}
     assert s[1] == 100 and s[2] == 97 and s[3] < 48 and s[4] == 0
