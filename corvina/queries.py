@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvina import queries_catalog, queries_data
+from corvina import queries_catalog, queries_data, queries_detail
 
-QUERIES = {**queries_catalog.QUERIES, **queries_data.QUERIES}
-SQL = {**queries_catalog.SQL, **queries_data.SQL}
+QUERIES = {**queries_catalog.QUERIES, **queries_data.QUERIES, **queries_detail.QUERIES}
+SQL = {**queries_catalog.SQL, **queries_data.SQL, **queries_detail.SQL}

@@ -226,10 +226,15 @@ def product_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similar_products(c.products(spark, d, "brand", "product_name", "category"))
 
 
+def keyed_words(spark: SparkSession, d: str) -> DataFrame:
+    """id, brand_key and words (sorted, as one text) of every product that has both."""
+    p = c.products(spark, d, "brand", "product_name").select("id", comparable_brand(F.col("brand")).alias("brand_key"), F.array_join(F.array_sort(feature_words(F.col("product_name"))), " ").alias("words"))
+    return p.where("brand_key <> '' and words <> ''")
+
+
 def same_words(spark: SparkSession, d: str) -> DataFrame:
     """Products of one brand with the same words in any order: grouped by the key itself, no pairs."""
-    p = c.products(spark, d, "brand", "product_name").select("id", comparable_brand(F.col("brand")).alias("brand_key"), F.array_join(F.array_sort(feature_words(F.col("product_name"))), " ").alias("words"))
-    return p.where("brand_key <> '' and words <> ''").groupBy("brand_key", "words").agg(F.count("*").alias("products"), F.min("id").alias("first_id")).where("products > 1")
+    return keyed_words(spark, d).groupBy("brand_key", "words").agg(F.count("*").alias("products"), F.min("id").alias("first_id")).where("products > 1")
 
 
 def same_evidence(spark: SparkSession, d: str) -> DataFrame:
