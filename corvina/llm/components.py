@@ -39,13 +39,9 @@ def _star_round(edges: DataFrame) -> DataFrame:
 def _propagate(edges: DataFrame) -> DataFrame:
     """edges (u, v), u <> v -> (id, label): the least vertex of the component, for every vertex that is not the least itself."""
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = cut(_star_round(edges))
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
+    state: tuple[int, int] | None = None
+    while (now := _state(edges)) != state and now[0]:
+        state, edges = now, cut(_star_round(edges))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
@@ -72,7 +68,7 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", peel_roun
         frontier = cut(reached.join(shuffled(seen), "id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # of written parts, peel_rounds of them at most
 
     # contract what was reached into its least vertex; links inside it vanish, links out of it stay
     core = seen.agg(F.min("id")).first()[0]
