@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.session import cut
+from corvina.session import cut, shuffled
 
 
 def linked_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,9 +18,9 @@ def linked_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(e.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("l")))
     while True:
-        near = e.join(labels.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v").groupBy("u").agg(F.min("nl").alias("nl"))
-        step = labels.join(near, "u", "left").select("u", F.least("l", "nl").alias("n"), "l")
-        jump = step.join(labels.select(F.col("u").alias("n"), F.col("l").alias("j")), "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("new"), "l")
+        near = e.join(shuffled(labels.select(F.col("u").alias("v"), F.col("l").alias("nl"))), "v").groupBy("u").agg(F.min("nl").alias("nl"))
+        step = labels.join(shuffled(near), "u", "left").select("u", F.least("l", "nl").alias("n"), "l")
+        jump = step.join(shuffled(labels.select(F.col("u").alias("n"), F.col("l").alias("j"))), "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("new"), "l")
         jump = cut(jump)
         moved = jump.where("new < l").limit(1).count()
         labels = jump.select("u", F.col("new").alias("l"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvina.session import cut
+from corvina.session import cut, shuffled
 
 Rule = Callable[[Column, Column], Column]
 
@@ -102,11 +102,11 @@ def final_targets(redirects: DataFrame, old: str, new: str) -> DataFrame:
     """
     step = redirects.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(F.col(old).alias("_from")).agg(F.min(new).alias("_to"))
     step = cut(step)
-    ends = step.select(F.col("_to").alias("_k")).distinct().join(step.select(F.col("_from").alias("_k")), "_k", "left_anti")
-    at = cut(step.join(ends.select(F.col("_k").alias("_to"), F.lit(True).alias("_done")), "_to", "left").select("_from", "_to", F.coalesce("_done", F.lit(False)).alias("_done")))
+    ends = step.select(F.col("_to").alias("_k")).distinct().join(shuffled(step.select(F.col("_from").alias("_k"))), "_k", "left_anti")
+    at = cut(step.join(shuffled(ends.select(F.col("_k").alias("_to"), F.lit(True).alias("_done"))), "_to", "left").select("_from", "_to", F.coalesce("_done", F.lit(False)).alias("_done")))
     for _ in range(at.count().bit_length() + 1):
         nxt = at.select(F.col("_from").alias("_to"), F.col("_to").alias("_n"), F.col("_done").alias("_d"))
-        open_ = at.where("not _done").join(nxt, "_to", "left").select("_from", F.coalesce("_n", "_to").alias("_to"), F.coalesce("_d", F.lit(False)).alias("_done"))
+        open_ = at.where("not _done").join(shuffled(nxt), "_to", "left").select("_from", F.coalesce("_n", "_to").alias("_to"), F.coalesce("_d", F.lit(False)).alias("_done"))
         if open_.isEmpty():
             break
         at = cut(at.where("_done").unionByName(open_))

@@ -55,10 +55,10 @@ def reaching_keys(redirects: DataFrame, existing: DataFrame, old: str, new: str)
     """
     edges = redirects.select(F.col(old).cast("long").alias("o"), F.col(new).cast("long").alias("n")).where("o is not null and n is not null and o <> n").distinct()
     edges = cut(edges)
-    found = frontier = cut(edges.join(existing.select(F.col("key").alias("n")).distinct(), "n", "left_semi").select(F.col("o").alias("key")).distinct())
+    found = frontier = cut(edges.join(shuffled(existing.select(F.col("key").alias("n")).distinct()), "n", "left_semi").select(F.col("o").alias("key")).distinct())
     while not frontier.isEmpty():
-        step = edges.join(frontier.select(F.col("key").alias("n")), "n", "left_semi").select(F.col("o").alias("key")).distinct()
-        frontier = cut(step.join(found, "key", "left_anti"))
+        step = edges.join(shuffled(frontier.select(F.col("key").alias("n"))), "n", "left_semi").select(F.col("o").alias("key")).distinct()
+        frontier = cut(step.join(shuffled(found), "key", "left_anti"))
         found = cut(found.unionByName(frontier))
     return found
 
@@ -77,7 +77,7 @@ class OrphanState:
 
     def orphans(self) -> DataFrame:
         """key and refs of every key that is referred to, is not there and leads nowhere."""
-        return orphan_keys(self.counts).join(self.reached, "key", "left_anti")
+        return orphan_keys(self.counts).join(shuffled(self.reached), "key", "left_anti")
 
 
 def redirect_delta(rows: DataFrame, old: str, new: str, sign: int = 1) -> DataFrame:
@@ -128,4 +128,4 @@ def advance(state: OrphanState | None, counts: list[DataFrame], redirects: DataF
 def orphan_rows(references: DataFrame, orphans: DataFrame) -> DataFrame:
     """The rows of references (with a key column) whose key is among the orphans (key, once each). Adaptive execution splits a
     key that holds most of the rows."""
-    return references.join(orphans.select("key"), "key", "left_semi")
+    return references.join(shuffled(orphans.select("key")), "key", "left_semi")
