@@ -74,6 +74,21 @@ def test_ties_hold_every_bucket_together(spark, monkeypatch):
         assert reached == alike
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs whose similarity is just above the threshold, by brute force 1,200 of them: how many are found as a link of their own."""
+    rnd, sets = random.Random(9), []
+    while len(sets) < 2400:
+        n, common = rnd.choice([(20, 17), (40, 34), (60, 50), (27, 23), (34, 28)])  # 17 of 23 and the like: 0.70 to 0.74
+        words_ = [rnd.getrandbits(62) for _ in range(2 * n - common)]
+        a, b = words_[:n], words_[n - common :]
+        assert 0.7 <= common / (2 * n - common) < 0.75
+        sets += [(len(sets), sorted(a)), (len(sets) + 1, sorted(b))]
+    got = {(r.a, r.b) for r in similar_pairs(spark.createDataFrame(sets, "id long, words array<long>")).collect()}
+    recall = sum((2 * k, 2 * k + 1) in got for k in range(1200)) / 1200
+    print(f"recall at 0.70 to 0.75: {recall:.4f}")
+    assert recall >= 0.98 and len(got) <= 1200
+
+
 def test_hot_group_is_not_compared_pairwise(spark):
     base = [f"h{k}" for k in range(30)]
     rnd = random.Random(3)
