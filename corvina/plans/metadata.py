@@ -44,3 +44,24 @@ def checked_posts(raw: DataFrame, handles: DataFrame, hosts: list[str]) -> DataF
         .when(differs, "ids disagree").when(F.col("influencer_slug").isNull(), "unknown account").when(foreign, "other account").when(day.isNull(), "no date")
     )
     return r.select("row_id", "influencer_slug", code.alias("external_post_id"), F.date_format(day, "yyyy-MM-dd").alias("published_at"), F.sha2(F.coalesce("description", F.lit("")), 256).alias("caption_sha256"), reason.alias("reason"))
+
+
+VIDEO_PATH = r"^/@([^/]+)/(video|photo)/(\d+)/?$"
+
+
+def checked_videos(raw: DataFrame, handles: DataFrame, hosts: list[str]) -> DataFrame:
+    """row_id, influencer_slug, external_post_id, original_url (canonical, on the first host), published_at, caption, caption_sha256, reason (null:
+    accepted) of video metadata: the first fault counts, of an id that is no number, a link that is not one of its account and id, and
+    a day that is none. raw: row_id, id, webpage_url, original_url, upload_date, description; handles: handle, slug (compared without case)."""
+    url = F.coalesce(F.nullif(F.trim("webpage_url"), F.lit("")), F.trim("original_url"), F.lit(""))
+    part = lambda p: F.call_function("try_parse_url", url, F.lit(p))
+    r = raw.withColumns({"_path": part("PATH"), "_good": (part("PROTOCOL") == "https") & part("HOST").isin(hosts) & part("PATH").rlike(VIDEO_PATH)})
+    r = r.withColumns({"_handle": F.lower(F.regexp_extract("_path", VIDEO_PATH, 1)), "_code": F.regexp_extract("_path", VIDEO_PATH, 3), "_id": F.trim(F.coalesce(F.col("id").cast("string"), F.lit("")))})
+    r = r.join(handles.select(F.lower("handle").alias("_handle"), F.col("slug").alias("influencer_slug")), "_handle", "left")
+    day = F.when(F.trim("upload_date").rlike(r"^\d{8}$"), F.try_to_timestamp(F.trim("upload_date"), F.lit("yyyyMMdd")).cast("date"))
+    number = F.col("_id").rlike(r"^\d+$")
+    fits = F.coalesce("_good", F.lit(False)) & (F.col("_code") == F.col("_id")) & F.col("influencer_slug").isNotNull()
+    reason = F.when(~number, "no id").when(~fits, "link does not fit").when(day.isNull(), "no date")
+    caption = F.coalesce("description", F.lit(""))
+    canonical = F.when(fits, F.concat(F.lit(f"https://{hosts[0]}"), F.regexp_replace("_path", "/+$", "")))
+    return r.select("row_id", "influencer_slug", F.when(number, F.col("_id")).alias("external_post_id"), canonical.alias("original_url"), F.date_format(day, "yyyy-MM-dd").alias("published_at"), caption.alias("caption"), F.sha2(caption, 256).alias("caption_sha256"), reason.alias("reason"))

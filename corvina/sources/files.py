@@ -106,3 +106,33 @@ def post_links(df: DataFrame, column: str, hosts: Sequence[str], account: str |
     if account:
         out = out.where((F.col("account") == "") | (F.lower("account") == account.lower()))
     return out.groupBy("shortcode").agg(F.min_by(F.struct("file", "kind", "host"), F.col("file")).alias("x")).select("x.file", "shortcode", "x.kind", F.concat(F.lit("https://"), F.col("x.host"), F.lit("/"), F.col("x.kind"), F.lit("/"), F.col("shortcode")).alias("url"))
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+
+def source_folders(spark: SparkSession, root: str, creator: str, asked: Sequence[str] = (), split: Sequence[str] = (), default: str = "") -> list[str]:
+    """The folders a creator's documents are in: those asked for; else the split ones; else the default one. Only what is there, each once, and
+    never split and default ones together (the default then holds an older run)."""
+    there = set(_folders(spark, f"{root}/{creator}"))
+    for choice in ([*asked],) if asked else ([*split], [default]):
+        if found := [f"{root}/{creator}/{x}" for x in dict.fromkeys(choice) if x in there]:
+            return found
+    return []
+
+
+def creators_with_sources(spark: SparkSession, root: str, asked: Sequence[str] = (), **choice) -> list[str]:
+    """The creators asked for, else all with a source folder, sorted."""
+    return list(dict.fromkeys(asked)) or [c for c in _folders(spark, root) if source_folders(spark, root, c, **choice)]
+
+
+def wanted(documents: DataFrame, key: str, allowed: DataFrame | None = None, only: str | None = None, limit: int | None = None) -> DataFrame:
+    """Documents of a list of keys, of one key, the first by key and file if only so many are asked for. A null key is on no list."""
+    out = documents if only is None else documents.where(F.col(key) == only)
+    out = out if allowed is None else out.join(allowed.select(key).distinct(), key, "left_semi")
+    return out if limit is None else out.orderBy(key, "file").limit(limit)
