@@ -159,24 +159,25 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     member = held.select("bucket", "id").unionByName(held.select("bucket", F.col("pivot").alias("id"))).distinct()
     member = cut(member.join(shuffled(label.select(F.col("u").alias("id"), "g")), "id", "left").select("bucket", "id", F.coalesce("g", "id").alias("g")))
     # two members: the pivot's comparison was the only one; one label: nothing is left to find
-    open_ = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n > 2 and lo <> hi").select("bucket")
-    member = cut(member.join(shuffled(open_), "bucket", "left_semi"))
-    # a set's rarest words: two sets above the threshold share one of the first size - ceil(threshold * size) + 1
+    open_ = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n > 2 and lo <> hi").select("bucket", "lo")
+    member = cut(member.join(shuffled(open_), "bucket").select("bucket", "id", "g", (F.col("g") != F.col("lo")).alias("loose")))
+    # in the order of rarity, of two sets above the threshold the larger has one of its first size - ceil(threshold * size) + 1 words
+    # among the first size - ceil(2 threshold / (1 + threshold) * size) + 1 of the smaller
     used = cut(sets.join(shuffled(member.select("id").distinct()), "id", "left_semi").select("id", F.size("words").alias("size"), F.explode("words").alias("w")))
     rare = used.groupBy("w").agg(F.count("*").alias("df"))
+    first = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
     # the words of one set, bounded by its own text; sorted per set, not per bucket
     prefix = (
         used.join(shuffled(rare.where("df > 1")), "w", "left").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("ws"))
-        .select("id", F.explode(F.slice("ws", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))).alias("x"))
-        .where("x.df > 1").select("id", F.col("x.w").alias("w"))
+        .select("id", "size", F.posexplode(F.slice("ws", F.lit(1), first(threshold))).alias("at", "x"))
+        .where("x.df > 1").select("id", "size", F.col("x.w").alias("w"), (F.col("at") < first(2 * threshold / (1 + threshold))).alias("short"))
     )
     spread = cut(member.join(shuffled(prefix), "id"))
-    across = (
-        spread.select("bucket", "w", F.col("id").alias("a"), F.col("g").alias("ga"))
-        .join(shuffled(spread.select("bucket", "w", F.col("id").alias("b"), F.col("g").alias("gb"))), ["bucket", "w"])
-        .where("a < b and ga <> gb")
-        .select("a", "b")
-    )
+    small = spread.where("short").select("bucket", "w", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("size").alias("na"), F.col("loose").alias("la"))
+    large = spread.select("bucket", "w", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("size").alias("nb"), F.col("loose").alias("lb"))
+    # members of the bucket's main group need not meet one another, so one side is always of the others
+    met = small.where("la").join(shuffled(large), ["bucket", "w"]).unionByName(small.where("not la").join(shuffled(large.where("lb")), ["bucket", "w"]))
+    across = met.where((F.col("ga") != F.col("gb")) & (F.col("na") <= F.col("nb")) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return stars.unionByName(verified(across)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
