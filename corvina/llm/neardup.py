@@ -145,13 +145,13 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     """
     held = cut(shared_buckets(sets, bands, rows))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(s), F.col("words").alias(f"w{s}")) for s in "ab")
         got = pairs.distinct().join(shuffled(a), "a").join(shuffled(b), "b")
         both = F.size(F.array_intersect("wa", "wb"))
         return got.select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
-    stars = cut(verified(held.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))))
+    stars = cut(verified(held.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")), sets))
     # equal labels: certainly linked; two steps of the least label are enough to spare most comparisons
     ends = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
     label = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l"))
@@ -163,7 +163,8 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     member = cut(member.join(shuffled(open_), "bucket").select("bucket", "id", "g", (F.col("g") != F.col("lo")).alias("loose")))
     # in the order of rarity, of two sets above the threshold the larger has one of its first size - ceil(threshold * size) + 1 words
     # among the first size - ceil(2 threshold / (1 + threshold) * size) + 1 of the smaller
-    used = cut(sets.join(shuffled(member.select("id").distinct()), "id", "left_semi").select("id", F.size("words").alias("size"), F.explode("words").alias("w")))
+    inside = cut(sets.join(shuffled(member.select("id").distinct()), "id", "left_semi").select("id", "words"))
+    used = inside.select("id", F.size("words").alias("size"), F.explode("words").alias("w"))
     rare = used.groupBy("w").agg(F.count("*").alias("df"))
     first = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
     # the words of one set, bounded by its own text; sorted per set, not per bucket
@@ -178,7 +179,7 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     # members of the bucket's main group need not meet one another, so one side is always of the others
     met = small.where("la").join(shuffled(large), ["bucket", "w"]).unionByName(small.where("not la").join(shuffled(large.where("lb")), ["bucket", "w"]))
     across = met.where((F.col("ga") != F.col("gb")) & (F.col("na") <= F.col("nb")) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stars.unionByName(verified(across)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return stars.unionByName(verified(across, inside)).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def links_within(member: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
