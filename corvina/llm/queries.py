@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm import oracles
 from corvina.llm.catalogue import same_items
 from corvina.llm.components import connected_components
 from corvina.llm.leakage import find_leaks
@@ -122,6 +123,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_found": p7_found, "p7_groups": p7_groups,
     "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found}
 SQL = {
+    **oracles.SQL,
     "p5_found": """
 with recursive e as (
   select post_id_a a, post_id_b b from social_post_matches where post_id_a is not null and post_id_b is not null
