@@ -7,12 +7,32 @@ from pyspark.sql import functions as F
 
 from corvina.functions.normalize import normalize
 
-# Words of no weight, types and strengths that must not differ, and other names of brands.
+# Fixed values (also the patterns of identity_key and family_key below, whose results are join keys): words of no weight, types and strengths that must not differ, and other names of brands.
 NO_WEIGHT = ["and", "ve", "the"]
 PROTECTED = ["spf", "pa", "retinol", "niacinamide", "aha", "bha", "vitamin", "serum", "cream", "foundation", "concealer", "powder", "sunscreen", "toner", "shampoo", "mask", "matte", "glow", "oil", "gel", "lotion", "primer", "cleanser", "lipstick"]
 TYPE_NAMES = {"allik": "blush", "fondoten": "foundation", "kapatici": "concealer", "krem": "cream", "kremi": "cream", "maskara": "mascara", "ruj": "lipstick", "tonik": "toner", "esans": "essence", "esansi": "essence"}
 BRAND_NAMES = {"l oreal": "loreal", "l oreal paris": "loreal", "loreal paris": "loreal", "maybelline new york": "maybelline", "kiehl s": "kiehls", "the ordinary": "ordinary", "la roche posay": "larocheposay"}
 
+# Brands a card shows as one, words that are one there, and the initials of a brand without any.
+SHOWN_BRANDS = {"maybelline new york": "maybelline", "kiehls since 1851": "kiehls", "l oreal paris": "loreal", "loreal paris": "loreal"}
+SHOWN_WORDS = {"fondoten": "foundation", "fondotenim": "foundation"}
+NO_INITIALS = "SK"
+
+
+def display_key(brand: Column, name: Column, category: Column) -> Column:
+    """What makes two products one card: plain brand, name and category. Sizes, shades and strengths tell cards apart; null where the
+    brand or the name has no letter or digit."""
+    named = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    b, n = normalize(brand, "display"), normalize(name, "display")
+    words = F.array_join(F.transform(F.split(n, " "), lambda w: F.coalesce(F.try_element_at(named(SHOWN_WORDS), w), w)), " ")
+    return F.when((b != "") & (n != ""), F.concat_ws("|", F.coalesce(F.try_element_at(named(SHOWN_BRANDS), b), b), words, normalize(category, "display")))
+
+
+def initials(brand: Column) -> Column:
+    """The first letters of a brand's first two words, as capitals."""
+    words = F.slice(F.filter(F.split(F.coalesce(brand, F.lit("")), r"\s+"), lambda w: w != ""), 1, 2)
+    return F.coalesce(F.nullif(F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")), F.lit("")), F.lit(NO_INITIALS))
+
 
 def _spelled_signs(c: Column) -> Column:
     """Signs that tell products apart as words: %, &, a + between words, a + at the end of one."""

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from corvina import queries_catalog as q
 from corvina.functions.dates import dashed
-from corvina.functions.keys import TYPE_NAMES
-from corvina.operators.keep import top_n
+from corvina.functions.keys import TYPE_NAMES, display_key, initials
+from corvina.operators.keep import collapse, keep_best, top_n
 from corvina.operators.latest import latest_per_key
 from corvina.operators.merge import ordered_pairs
 from corvina.plans import catalog as c
 from corvina.plans import reports as r
+from corvina.plans.detail import creator_presence
 from corvina.session import table
 
 
@@ -133,7 +134,37 @@ def record_keys(spark: SparkSession, d: str) -> DataFrame:
     return latest_per_key(k, ["record_key"], ["created_at"], ["id"]).select("record_key", "id")
 
 
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    """Per product and creator on which platforms there is an approved mention."""
+    return creator_presence(c.approved_mentions(spark, d))
+
+
+def best_records(spark: SparkSession, d: str) -> DataFrame:
+    """Of everything collected for a post the best record: with a description, the longer one, dated, the first row."""
+    raw = table(spark, d, "raw_post_metadata").where("coalesce(trim(display_id), '') <> ''").select("display_id", "row_id", "description", "upload_date")
+    filled = lambda x: (F.coalesce(F.trim(x), F.lit("")) != "").cast("int")
+    best = keep_best(raw, ["display_id"], [filled("description"), F.length(F.coalesce("description", F.lit(""))), filled("upload_date")], "row_id")
+    return best.select("display_id", "row_id")
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    """Products that are one card, with the brand's initials: how many and the first."""
+    p = c.products(spark, d, "normalized_brand", "normalized_product_name", "category")
+    k = p.select("id", display_key(F.col("normalized_brand"), F.col("normalized_product_name"), F.col("category")).alias("card"), initials(F.col("normalized_brand")).alias("initials")).where("card is not null")
+    return k.groupBy("card").agg(F.count("*").alias("products"), F.min("id").alias("first_id"), F.min("initials").alias("initials"))
+
+
+def collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue with one row a card: the row of most creators, then reviews, at the place of the card's first product."""
+    counts = c.catalogue(spark, d).select("product_id", "influencer_count", "review_count")
+    p = c.products(spark, d, "normalized_brand", "normalized_product_name", "category").withColumnRenamed("id", "product_id")
+    k = p.select("product_id", display_key(F.col("normalized_brand"), F.col("normalized_product_name"), F.col("category")).alias("card")).where("card is not null").join(counts, "product_id")
+    best = collapse(k.withColumn("position", F.col("product_id")), ["card"], [F.col("influencer_count"), F.col("review_count")], "position")
+    return best.select("card", "product_id", "influencer_count", "review_count", "position")
+
+
 QUERIES = {
+    "e9_presence": presence, "m1_best_records": best_records, "s13_cards": cards, "g12_collapsed": collapsed,
     "f2_evidence": evidence, "d21_reuse": reuse, "j5_replaced_matches": replaced_matches, "h6_families": product_families, "j8_cache": cache, "f26_audit": audit_report, "j9_reextract": reextract, "b13_restored": restored,
     "g3_ordered_mentions": ordered_mentions, "g1_first_links": first_links, "s26_counted_captions": counted_captions, "s27_languages": languages, "s10_titles": titles, "d5_collected_posts": collected_posts,
     "m26_table_rows": table_rows, "m12_record_keys": record_keys,
@@ -146,7 +177,15 @@ _AUDIT = f"""{q.M}, mm as (select id, social_post_id, product_id, lower(evidence
     union all select distinct social_post_id, 'shared evidence', 'high' from (select social_post_id, whole from mm group by 1, 2 having count(distinct product_id) > 1)
     union all select distinct social_post_id, 'weak approval', 'medium' from m where status = 'approved' and confidence < 0.5
     union all select social_post_id, 'open mentions', 'low' from m where status = 'review' group by 1 having count(*) > 2)"""
+_SHOWN = "trim(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'))"
+_CARD = f"""k as (select id, {_SHOWN.format('normalized_brand')} b, {_SHOWN.format('normalized_product_name')} n, {_SHOWN.format("lower(coalesce(category, ''))")} cat, normalized_brand nb from p),
+  y as (select id, nb, coalesce(map {{'maybelline new york': 'maybelline', 'kiehls since 1851': 'kiehls', 'l oreal paris': 'loreal', 'loreal paris': 'loreal'}}[b], b) || '|' || array_to_string(list_transform(string_split(n, ' '), lambda w: case when w in ('fondoten', 'fondotenim') then 'foundation' else w end), ' ') || '|' || cat as card from k where b <> '' and n <> '')"""
+_WORDS_OF = "list_filter(string_split_regex(nb, '\\s+'), lambda w: w <> '')[1:2]"
 SQL = {
+    "e9_presence": f"with {q.APPROVED} select product_id, influencer_slug, max(display_name) as display_name, bool_or(platform = 'youtube') as has_youtube, bool_or(platform = 'tiktok') as has_tiktok, bool_or(platform = 'instagram') as has_instagram from a group by 1, 2",
+    "m1_best_records": "select display_id, row_id from (select *, row_number() over (partition by display_id order by trim(coalesce(description, '')) <> '' desc, length(coalesce(description, '')) desc, trim(coalesce(upload_date, '')) <> '' desc, row_id) rn from raw_post_metadata where trim(coalesce(display_id, '')) <> '') where rn = 1",
+    "s13_cards": f"with {q.P}, {_CARD} select card, count(*) as products, min(id) as first_id, min(upper(array_to_string(list_transform({_WORDS_OF}, lambda w: left(w, 1)), ''))) as initials from y group by 1",
+    "g12_collapsed": f"with {q.CATALOGUE}, {_CARD}, z as (select y.card, y.id, c.influencer_count, c.review_count, min(y.id) over (partition by y.card) as position, row_number() over (partition by y.card order by c.influencer_count desc, c.review_count desc, y.id) rn from y join c on c.product_id = y.id) select card, id as product_id, influencer_count, review_count, position from z where rn = 1",
     "f2_evidence": f"""with {q.M}, {q.S}, x as (select m.*, s.caption, case when trim(coalesce(evidence_text, '')) <> '' then instr(s.caption, evidence_text) else 0 end as pos from m left join s on s.id = m.social_post_id)
       select id, case when caption is not null then pos > 0 end as found, case when pos > 0 then pos - 1 end as start, case when pos > 0 then length(left(caption, pos - 1)) - length(replace(left(caption, pos - 1), chr(10), '')) + 1 end as line,
         trim(coalesce(extracted_brand, '')) <> '' and instr(coalesce(caption, ''), extracted_brand) > 0 as brand_there, trim(coalesce(extracted_product_name, '')) <> '' and instr(coalesce(evidence_text, ''), extracted_product_name) > 0 as name_there from x""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvina.functions import dates, links
-from corvina.functions.keys import family_key, feature_words, identity_key, numeric_words, protected_words
+from corvina.functions.keys import display_key, family_key, feature_words, identity_key, initials, numeric_words, protected_words
 from corvina.functions.nested import canonical_json_sha256, nodes, page_parts, richness, text_list, values_of
 from corvina.functions.normalize import CHAINS, normalize, normalized, position_map
 from corvina.functions.similarity import coverage, match_score, ratio, ratio_can_reach, search_aliases, sequence_ratio, sequence_ratio_from, token_set_ratio
@@ -110,3 +110,15 @@ def test_nested(spark):
     page = '<html><head><meta property="og:image" content="o.png"><script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "N"}]}</script><style>x</style></head><body><h1>T</h1><img src="i.png"><img data-src="i.png">ok</body>'
     p = spark.createDataFrame([(page,), (None,)], "p string").select(page_parts("p").alias("x")).select("x.*").collect()
     assert json.loads(p[0].ld[0])["name"] == "N" and p[0].images == ["o.png", "i.png"] and p[0].text == "T ok" and p[1].text == ""
+
+
+def test_cards_and_initials(spark):
+    df = spark.createDataFrame([("Maybelline New York", "Fit Me Fondöten 30 ml", "makeup"), ("", "x", "c"), ("A", " - ", None), ("ışık  güzel ev", "n", None)], "b string, n string, c string")
+    got = [tuple(r) for r in df.select(display_key(F.col("b"), F.col("n"), F.col("c")).alias("k"), initials(F.col("b")).alias("i")).collect()]
+    assert got == [("maybelline|fit me foundation 30 ml|makeup", "MN"), (None, "SK"), (None, "A"), ("isik guzel ev|n|", "IG")]
+
+
+def test_family_and_plain_words_by_hand(spark):
+    df = spark.createDataFrame([("Örnek", "Mat Ruj 3 g No 12"), ("ornek", "mat lipstick"), ("Örnek", "Mat Ruj 30 numaralı"), ("Örnek", "Krem SPF 50")], "b string, n string")
+    assert [r[0] for r in df.select(family_key(F.col("b"), F.col("n"))).collect()] == ["ornek::mat lipstick"] * 3 + ["ornek::cream spf 50"]
+    assert [r[0] for r in df.select(F.array_join(feature_words(F.col("n")), " ")).collect()] == ["mat ruj 3 g no 12", "mat lipstick", "mat ruj 30 numarali", "krem spf 50"]
