@@ -112,6 +112,7 @@ _ODD = _char_class(_ODD_SET)
 _MAYBE = frozenset(_ODD_SET | {"\u200d", "\ufe0f"})
 _SUSPECT = re.compile(f"[{_ODD}]|(?<![{_PICTURES}])\u200d|\u200d(?![{_PICTURES}])|(?<![{_PICTURES}\u203c-\u2bff0-9#*©®])\ufe0f|^\u200d")
 _OTHER_SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1cbf\u1f00-\u1fff\u2c80-\u2cff\u2d00-\u2d2f\u2de0-\u2dff\ua640-\ua69f\ua4d0-\ua4ff\uab70-\uabbf"
+_ALL_LATIN = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _TWO_SCRIPTS = re.compile(f"[{_OTHER_SCRIPTS}]")
 #: Letters of two groups of scripts in one word; a text without has no mixed word.
 _SIDE_BY_SIDE = re.compile(
@@ -168,7 +169,7 @@ def canonical(text: str | None, report: bool = True, settle: bool = False) -> tu
         return done, 2 * (done != text)
     flags, out, n = 0, [], len(text)
     for i, c in enumerate(text):
-        if c.isascii():
+        if c.isascii() or c not in _MAYBE:
             out.append(c)
         elif c in UNSEEN:
             before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < n else ""
@@ -209,6 +210,8 @@ def canonical(text: str | None, report: bool = True, settle: bool = False) -> tu
     pieces, end = [], 0
     whole: list[tuple[int, frozenset[str]]] = []  # pieces in one script that is not Latin
     for m in _WORD.finditer(composed):
+        if _ALL_LATIN.fullmatch(m[0]):  # most words by far
+            continue
         word, mixed = spell(m[0])
         pieces += [composed[end : m.start()], word]
         end = m.end()
