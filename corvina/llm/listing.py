@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from corvina.llm.lookalike import fold
 
@@ -121,6 +122,11 @@ def compact(text: str) -> str:
     return "".join(_WORDS.findall(text)).replace("'", "")
 
 
+#: A name is read and then looked at whole, one after the other.
+folded = lru_cache(maxsize=2)(fold)
+
+
+@lru_cache(maxsize=1 << 14)
 def fold_brand(brand: str | None) -> str:
     """Brand words without extras; `&`, `ve`, `and` and the sign at a handle say nothing."""
     ws = _WORDS.findall(fold(_GLUED_AND.sub(" ", brand or "")).replace("™", " ").replace("®", " "))
@@ -149,7 +155,7 @@ def read(brand: str | None, name: str | None, vocabulary: Vocabulary | None = No
     """The parts of a listing. Null and empty names give an empty listing."""
     v = vocabulary or SEED
     out = Listing(brand=fold_brand(brand))
-    text = fold(name).replace("™", " ").replace("®", " ")
+    text = folded(name).replace("™", " ").replace("®", " ")
     if not text.strip():
         return out
     taken: list[str] = []
