@@ -87,6 +87,124 @@ def sequence_ratio_from(a: Column, b: Column, least: float) -> Column:
     return run(a, b)
 
 
+#: Plain texts (small letters a to z, digits, blanks) as numbers from 1 on; 0 is what is behind their end.
+_CODES = np.zeros(128, dtype=np.uint8)
+_CODES[[ord(x) for x in " abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 38)
+#: Texts from this length on have letters the aligner ignores; WORD letters fit the bits of a number.
+IGNORES_FROM, WORD = 200, 64
+_PAIRS, _ITEMS = 1 << 15, 1 << 11
+
+
+class PlainTexts:
+    """Plain texts whose pairs are compared many at a time. Results are those of common_letters and ratio, to the bit."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.codes = np.zeros((len(texts), max(1, min(IGNORES_FROM, int(self.lengths.max(initial=0))))), dtype=np.uint8)
+        for i, t in enumerate(texts):
+            t = t[: self.codes.shape[1]]
+            self.codes[i, : len(t)] = _CODES[np.frombuffer(t.encode(), dtype=np.uint8)]
+        # where each text has each letter, a bit a letter, in as many numbers as the longest takes
+        self.masks = np.zeros((-(-self.codes.shape[1] // WORD), len(texts), 38), dtype=np.uint64)
+        for j in range(self.codes.shape[1]):
+            self.masks[j // WORD, np.arange(len(texts)), self.codes[:, j]] |= np.uint64(1 << j % WORD)
+        self.masks[:, :, 0] = 0
+
+    def bags(self) -> np.ndarray:
+        """A row a letter: how often each text has it. What two bags have in common is no less than two texts have."""
+        out = np.zeros((38, len(self.texts)), dtype=np.uint8 if self.lengths.max(initial=0) < 256 else np.uint32)
+        for i, t in enumerate(self.texts):
+            out[:, i] = np.bincount(_CODES[np.frombuffer(t.encode(), dtype=np.uint8)], minlength=38)
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """common_letters of the pairs (a, b)."""
+        out = np.empty(len(a), dtype=np.int64)
+        swap = self.lengths[a] > self.lengths[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        fits = self.lengths[b] < IGNORES_FROM
+        for k in np.flatnonzero(~fits).tolist():
+            out[k] = common_letters(self.texts[a[k]], self.texts[b[k]])
+        words = np.where(fits, np.maximum(1, -(-self.lengths[a] // WORD)), 0)
+        for n in range(1, len(self.masks) + 1):
+            which = np.flatnonzero(words == n)
+            for i in range(0, len(which), _PAIRS):
+                at = which[i : i + _PAIRS]
+                x, y = a[at], b[at]
+                rows = np.full((n, len(at)), ~np.uint64(0))
+                for code in self.codes[y, : int(self.lengths[y].max())].T:
+                    carry = None
+                    for row, masks in zip(rows, self.masks):
+                        m = masks[x, code]
+                        m &= row
+                        up = row + m
+                        over = up < m
+                        if carry is not None:
+                            up += carry
+                            over |= up < carry
+                        row -= m
+                        row |= up
+                        carry = over
+                out[at] = np.bitwise_count(~rows).sum(axis=0, dtype=np.int64)
+        return out
+
+    def ratios(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """ratio of the pairs (a, b): the order of the two counts."""
+        out = np.empty(len(a))
+        fits = (self.lengths[a] < IGNORES_FROM) & (self.lengths[b] < IGNORES_FROM)
+        for k in np.flatnonzero(~fits).tolist():
+            out[k] = ratio(self.texts[a[k]], self.texts[b[k]])
+        which = np.flatnonzero(fits)
+        for i in range(0, len(which), _PAIRS):
+            at = which[i : i + _PAIRS]
+            x, y = a[at], b[at]
+            out[at] = 2.0 * self._matched(x, y) / np.maximum(1, self.lengths[x] + self.lengths[y])
+        return out
+
+    def _matched(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Letters that the aligner matches: the longest common stretch (of several the first in a, then in b), and the same
+        left and right of it, all open stretches of a round together, those of like lengths at a time."""
+        out = np.zeros(len(a), dtype=np.int64)
+        n = np.arange(len(a))
+        at, a0, a1, b0, b1 = n, np.zeros_like(n), self.lengths[a], np.zeros_like(n), self.lengths[b]
+        while len(at):
+            order = np.lexsort((b1 - b0, a1 - a0))
+            parts = []
+            for i in range(0, len(at), _ITEMS):
+                k = order[i : i + _ITEMS]
+                p, x0, x1, y0, y1 = at[k], a0[k], a1[k], b0[k], b1[k]
+                size, x, y = self._longest(a[p], x0, x1, b[p], y0, y1)
+                hit = size > 0
+                p, size, x, y, x0, x1, y0, y1 = (v[hit] for v in (p, size, x, y, x0, x1, y0, y1))
+                np.add.at(out, p, size)
+                parts += [(p, x0, x, y0, y), (p, x + size, x1, y + size, y1)]
+            at, a0, a1, b0, b1 = (np.concatenate(v) for v in zip(*parts))
+            open_ = (a1 > a0) & (b1 > b0)
+            at, a0, a1, b0, b1 = (v[open_] for v in (at, a0, a1, b0, b1))
+        return out
+
+    def _longest(self, a, a0, a1, b, b0, b1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length and beginnings of the longest common stretch of a[a0:a1] and b[b0:b1] in each pair."""
+        def cut_out(of: np.ndarray, begin: np.ndarray, end: np.ndarray, behind: int) -> np.ndarray:
+            at = begin + np.arange(int((end - begin).max()))[:, None]
+            return np.where(at < end, self.codes[of, np.minimum(at, self.codes.shape[1] - 1)], np.uint8(behind))
+
+        x, y = cut_out(a, a0, a1, 254), cut_out(b, b0, b1, 255)
+        run, new = np.zeros((2, len(y) + 1, len(a)), dtype=np.uint8)
+        size, i_end, j_end = np.zeros(len(a), dtype=np.uint8), np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+        for i, letter in enumerate(x):
+            np.add(run[:-1], 1, out=new[1:])
+            new[1:] *= y == letter
+            most = new.max(axis=0)
+            better = np.flatnonzero(most > size)
+            if len(better):
+                size[better], i_end[better], j_end[better] = most[better], i + 1, new[:, better].argmax(axis=0)
+            run, new = new, run
+        size = size.astype(np.int64)
+        return size, a0 + i_end - size, b0 + j_end - size
+
+
 def ratio_can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the lengths allow a ratio of at least least: no pair above it is lost."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))

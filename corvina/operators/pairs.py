@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.functions.dates import days_apart
 from corvina.functions.keys import comparable_brand, feature_words, numeric_words, protected_words
 from corvina.functions.normalize import normalize
-from corvina.functions.similarity import ratio_can_reach, sequence_ratio_from, token_set_ratio
-
-from corvina.session import cut
+from corvina.functions.similarity import PlainTexts, ratio_can_reach, sequence_ratio_from
+from corvina.session import cut, shuffled
 
 
 def nearest_captions(left: DataFrame, right: DataFrame, block: str, threshold: float = 0.86, max_days: int = 3) -> DataFrame:
@@ -75,23 +76,122 @@ def match_faults(matches: DataFrame) -> DataFrame:
     return m.select("left_id", "right_id", F.explode(F.array_compact(F.array(*[F.when(c, name) for name, c in faults.items()]))).alias("fault"))
 
 
+#: Forms of a brand compared with one another at once, and rows of a task.
+FORMS_A_BLOCK, ROWS_A_GROUP = 2_000, 8_000
+#: Forms that meet a block's others, and pairs that are compared, at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 128, 1 << 18
+REASONS = ["exact_normalized_tokens", "category_conflict", "variant_or_strength_conflict", "formula_or_type_conflict", "fuzzy_candidate"]
+
+
 def similar_products(products: DataFrame, minimum: float = 67.0) -> DataFrame:
     """id_a < id_b of one brand with a word in common: decision, score, reason.
 
-    products: id, brand, product_name, category. Equal words in any order are safe; conflicts of category, of numbers (sizes,
-    shades, strengths) or of types, and mere likeness go to review, those below the minimum score nowhere. Pairs meet by
-    (brand, word), which is the condition itself: no pair of a brand without a common word is built.
+    products: id (each once), brand, product_name, category. Equal words in any order are safe; conflicts of category, of numbers
+    (sizes, shades, strengths) or of types, and mere likeness go to review, those below the minimum score nowhere.
+
+    Distinct forms (brand, words, category) are compared, all of a brand in blocks of bounded size: letters, then words in common,
+    then common subsequences leave the pairs that are aligned, each for whole batches. No pair of products is built
+    but the result's. Of a form with several products, and of two such forms, the products are paired by shuffle.
     """
-    p = products.select("id", comparable_brand(F.col("brand")).alias("b"), feature_words(F.col("product_name")).alias("w"), F.lower(F.trim("category")).alias("c")).where("b <> '' and size(w) > 0")
-    words = p.select("id", "b", F.explode(F.array_distinct("w")).alias("word"))
-    met = words.select(F.col("id").alias("id_a"), "b", "word").join(words.select(F.col("id").alias("id_b"), "b", "word"), ["b", "word"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-    a, b = (p.select(F.col("id").alias(f"id_{s}"), F.col("w").alias(f"w_{s}"), F.col("c").alias(f"c_{s}")) for s in "ab")
-    x = met.join(a, "id_a").join(b, "id_b")
-    same = F.array_sort("w_a") == F.array_sort("w_b")
-    clash = (F.coalesce("c_a", F.lit("")) != "") & (F.coalesce("c_b", F.lit("")) != "") & (F.col("c_a") != F.col("c_b")) & (F.col("c_a") != "other") & (F.col("c_b") != "other")
-    x = x.withColumns({"same": same, "clash": clash, "num": numeric_words(F.col("w_a")) != numeric_words(F.col("w_b")), "typ": protected_words(F.col("w_a")) != protected_words(F.col("w_b"))})
-    text = lambda c: F.when(~F.col("same") | F.col("clash"), F.array_join(c, " "))
-    x = x.withColumn("score", F.when(F.col("same") & ~F.col("clash"), 100.0).otherwise(token_set_ratio(text("w_a"), text("w_b"), minimum)))
-    decision = F.when(F.col("same") & ~F.col("clash"), "safe").otherwise("review")
-    reason = F.when(F.col("clash"), "category_conflict").when(F.col("same"), "exact_normalized_tokens").when(F.col("num"), "variant_or_strength_conflict").when(F.col("typ"), "formula_or_type_conflict").otherwise("fuzzy_candidate")
-    return x.select("id_a", "id_b", decision.alias("decision"), "score", reason.alias("reason")).where((F.col("decision") == "safe") | (F.col("score") >= minimum))
+    ident = dict(products.dtypes)["id"]
+    p = products.select("id", comparable_brand(F.col("brand")).alias("b"), feature_words(F.col("product_name")).alias("w"), F.coalesce(F.lower(F.trim("category")), F.lit("")).alias("c")).where("b <> '' and size(w) > 0")
+    p = cut(p.select("id", "b", F.array_join("w", " ").alias("text"), "c"))
+    forms = cut(p.groupBy("b", "text", "c").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    deal = cut(forms.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / FORMS_A_BLOCK)))
+    rows = deal.agg(F.sum(F.col("n") * F.col("parts")).alias("n")).first()["n"] or 0
+    groups = max(1, -(-rows // ROWS_A_GROUP))
+    f = forms.join(shuffled(deal), "b").withColumn("part", F.pmod(F.xxhash64("text", "c"), F.col("parts")))
+    f = f.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    f = f.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other"), "words": F.split("text", " ")})
+    f = f.select("b", "x", "y", "part", "text", "c", "first", "last", F.array_join(numeric_words(F.col("words")), " ").alias("num"), F.array_join(protected_words(F.col("words")), " ").alias("typ"))
+    f = f.withColumn("bucket", F.pmod(F.xxhash64("b", "x", "y"), F.lit(groups))).repartition(groups, "bucket")
+    met = cut(f.groupBy("bucket").applyInPandas(lambda g: _alike(g, minimum), f"first {ident}, second {ident}, ratio double, reason int, several boolean"))
+
+    several = forms.where("first < last")
+    members = p.join(shuffled(several), ["b", "text", "c"]).select("first", "id")
+    m = cut(members)
+    of = lambda c, s: m.select(F.col("first").alias(c), F.col("id").alias(f"_{s}"))
+    more = met.where("several").join(shuffled(of("first", "a")), "first", "left").join(shuffled(of("second", "b")), "second", "left")
+    more = more.select(F.coalesce("_a", "first").alias("id_a"), F.coalesce("_b", "second").alias("id_b"), "ratio", "reason").where("id_a < id_b")
+    equal = of("first", "a").join(shuffled(of("first", "b")), "first").where("_a < _b").select(F.col("_a").alias("id_a"), F.col("_b").alias("id_b"), F.lit(1.0).alias("ratio"), F.lit(0).alias("reason"))
+    x = met.where("not several").select(F.col("first").alias("id_a"), F.col("second").alias("id_b"), "ratio", "reason").unionByName(more).unionByName(equal)
+    decision = F.when(F.col("reason") == 0, "safe").otherwise("review")
+    score = F.round(100 * F.col("ratio"), 1)
+    return x.select("id_a", "id_b", decision.alias("decision"), score.alias("score"), F.array(*map(F.lit, REASONS))[F.col("reason")].alias("reason")).where((F.col("reason") == REASONS[0]) | (F.col("score") >= minimum))
+
+
+def _alike(g: pd.DataFrame, minimum: float) -> pd.DataFrame:
+    """first, second (least ids of two forms, in the order the products are compared), ratio, reason, and whether a form has
+    several products; both orders where products of either come first. g: the forms of one or more blocks."""
+    least = min((minimum - 0.06) / 100, 1.0) - 1e-12
+    g = g.sort_values(["b", "x", "y", "part"], kind="stable", ignore_index=True)
+    texts = g["text"].tolist()
+    split = [t.split(" ") for t in texts]
+    written, in_order = PlainTexts(texts), PlainTexts([" ".join(sorted(w)) for w in split])
+    lengths, bags = written.lengths, written.bags()
+    codes = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+    signs = np.zeros((4, len(g)), dtype=np.uint64)
+    for k, ws in enumerate(split):
+        for h in {codes[w] % 256 for w in ws}:
+            signs[h // 64, k] |= np.uint64(1 << h % 64)
+    part = g["part"].to_numpy()
+    block = (g[["b", "x", "y"]] != g[["b", "x", "y"]].shift()).any(axis=1).to_numpy().cumsum()
+    begins = np.append(np.flatnonzero(np.diff(block, prepend=0)), len(g))
+    met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        hit = (signs[0, i] & signs[0, j]) != 0
+        for s in signs[1:]:
+            hit |= (s[i] & s[j]) != 0
+        i, j = i[hit], j[hit]
+        n = lengths[i] + lengths[j]
+        a, b = (2 * t.common(i, j) / n >= least for t in (written, in_order))
+        hit = np.fromiter((not set(split[x]).isdisjoint(split[y]) for x, y in zip(i[a | b], j[a | b])), dtype=bool, count=int((a | b).sum()))
+        keep = np.flatnonzero(a | b)[hit]
+        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+        # the order of two texts counts: that of the products' ids
+        for x, y, which in ((i, j, first[i] < last[j]), (j, i, first[j] < last[i])):
+            which = np.asarray(which, dtype=bool)
+            x, y = x[which], y[which]
+            best = np.zeros(len(x))
+            for t, reach in ((written, a[which]), (in_order, b[which])):
+                k = np.flatnonzero(reach)
+                best[k] = np.maximum(best[k], t.ratios(x[k], y[k]))
+            k = np.flatnonzero(best >= least)
+            met.append((x[k], y[k], best[k]))
+
+    first, last = g["first"].to_numpy(), g["last"].to_numpy()
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        # of two parts each form of one meets each of the other, within one part each meets those behind it
+        middle = begin + int(np.searchsorted(part[begin:end], part[end - 1]))
+        within = middle == begin
+        if within and g["x"].iat[begin] != g["y"].iat[begin]:
+            continue  # the other part is empty
+        lefts, rights = (slice(begin, end), slice(begin, end)) if within else (slice(begin, middle), slice(middle, end))
+        for i in range(lefts.start, lefts.stop, ROWS_AT_ONCE):
+            x = slice(i, min(i + ROWS_AT_ONCE, lefts.stop))
+            y = slice(i, rights.stop) if within else rights
+            shared = np.zeros((x.stop - x.start, y.stop - y.start), dtype=bags.dtype)
+            for bag in bags[1:]:
+                if bag[x].any():
+                    shared += np.minimum(bag[x, None], bag[None, y])
+            need = np.ceil((np.arange(2 * int(lengths.max()) + 1)) * least / 2 - 1e-9).astype(np.int64)
+            hit = shared >= need[lengths[x, None] + lengths[None, y]]
+            if within:
+                hit &= np.arange(x.start, x.stop)[:, None] < np.arange(y.start, y.stop)
+            a, b = np.nonzero(hit)
+            waiting.append((a + x.start, b + y.start))
+            if sum(len(a) for a, _ in waiting) > PAIRS_AT_ONCE:
+                compare(*map(np.concatenate, zip(*waiting)))
+                waiting.clear()
+    if waiting:
+        compare(*map(np.concatenate, zip(*waiting)))
+    i, j, best = map(np.concatenate, zip(*met)) if met else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    same = np.array(pd.factorize(np.array(in_order.texts, dtype=object))[0])
+    c, num, typ = (pd.factorize(g[x])[0] for x in ("c", "num", "typ"))
+    spoken = (g["c"] != "").to_numpy() & (g["c"] != "other").to_numpy()
+    clash = spoken[i] & spoken[j] & (c[i] != c[j])
+    reason = np.select([clash, same[i] == same[j], num[i] != num[j], typ[i] != typ[j]], [1, 0, 2, 3], 4)
+    several = np.asarray((first[i] < last[i]) | (first[j] < last[j]), dtype=bool)
+    return pd.DataFrame({"first": first[i], "second": first[j], "ratio": best, "reason": reason, "several": several})

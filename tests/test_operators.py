@@ -205,3 +205,60 @@ def test_similar_products(spark):
     got = {(r.id_a, r.id_b): (r.decision, r.reason) for r in similar_products(df).collect()}
     assert got[(2, 3)] == ("review", "variant_or_strength_conflict") and got[(2, 4)] == ("review", "category_conflict") and (5, 1) not in got and not any(6 in k or 7 in k or 8 in k for k in got)
     assert got[(3, 4)][1] == "category_conflict"
+
+
+def test_similar_products_against_all_pairs(spark, monkeypatch):
+    """Blocks of three forms, forms of several products with ids that interleave, long texts, both orders of two texts."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from corvina.functions.similarity import ratio
+    from corvina.operators import pairs
+
+    for name, n in (("FORMS_A_BLOCK", 3), ("ROWS_A_GROUP", 10), ("ROWS_AT_ONCE", 2), ("PAIRS_AT_ONCE", 4)):
+        monkeypatch.setattr(pairs, name, n)
+    rnd = random.Random(6)
+    words = ["krem", "kremi", "serum", "spf", "50", "30", "ml", "lomi", "lomu", "mat", "bakim", "x" * 70, "abc " * 60]
+    some = [(rnd.choice(["kozen", "Kozen", "bemir"]), " ".join(rnd.choices(words, k=rnd.randint(1, 5))), rnd.choice(["skincare", "makeup", "other", None])) for _ in range(45)]
+    rows_ = [(i, *x) for i, x in enumerate([*some, *some[:15], ("tek", "krem", None), ("kozen", "the", None)])]
+    want = set()
+    for a in rows_:
+        for b in rows_:
+            x, y = a[2].split(), b[2].split()
+            if a[0] < b[0] and a[1].lower() == b[1].lower() and set(x) & set(y) - {"the"}:
+                best = max(ratio(" ".join(x), " ".join(y)), ratio(" ".join(sorted(x)), " ".join(sorted(y))))
+                score = float(Decimal(repr(100 * best)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+                clash = a[3] != b[3] and not {a[3], b[3]} & {"other", None}
+                if score >= 67:
+                    want.add((a[0], b[0], "safe" if sorted(x) == sorted(y) and not clash else "review", score))
+    got = similar_products(spark.createDataFrame(rows_, "id int, brand string, product_name string, category string")).select("id_a", "id_b", "decision", "score").collect()
+    assert len(got) == len(want) > 50 and {tuple(r) for r in got} == want
+
+
+def test_a_brand_with_thousands_of_products_makes_no_pairs_but_its_result(spark):
+    import random
+    import time
+
+    rnd = random.Random(8)
+    names = ["".join(rnd.choices("abcdefghijklmnoprstuvyz", k=12)) + " " + "".join(rnd.choices("abcdefghijklmnoprstuvyz", k=14)) + f" {n} ml" for n in range(3000)]
+    df = spark.createDataFrame([(i, "kozen", n, "skincare") for i, n in enumerate([*names, names[7] + " x"])], "id int, brand string, product_name string, category string")
+    began = time.monotonic()
+    got = {(r.id_a, r.id_b) for r in similar_products(df).collect()}
+    # 4.5 million pairs share the word ml
+    assert (7, 3000) in got and len(got) < 3000 and time.monotonic() - began < 90
+
+
+def test_plain_texts_are_compared_as_one_by_one():
+    import random
+
+    import numpy as np
+
+    from corvina.functions.similarity import PlainTexts, common_letters, ratio
+
+    rnd = random.Random(3)
+    texts = ["", *("".join(rnd.choices(rnd.choice(["a", "ab", " abc", "abcdefghij 0123"]), k=rnd.choice([1, 2, 20, 63, 64, 65, 128, 129, 199, 200, 260]))) for _ in range(150))]
+    a, b = (np.array(rnd.choices(range(len(texts)), k=1500)) for _ in "ab")
+    t = PlainTexts(texts)
+    assert t.common(a, b).tolist() == [common_letters(texts[i], texts[j]) for i, j in zip(a, b)]
+    assert t.ratios(a, b).tolist() == [ratio(texts[i], texts[j]) for i, j in zip(a, b)]
+    assert PlainTexts([]).ratios(a[:0], b[:0]).tolist() == []
