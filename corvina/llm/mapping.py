@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.listing import SEED, Vocabulary, compact, fold_brand, folded, read
+from corvina.llm.listing import SEED, Vocabulary, compact, folded, read
 from corvina.llm.vocabulary import mine_vocabulary
 from corvina.session import cut, shuffled
 
@@ -255,28 +255,34 @@ def map_to_list(df: DataFrame, brand: str, name: str, reference: DataFrame, ref_
     Each distinct pair is looked up once, so a value typed a billion times costs one lookup. Null and empty names, and names
     of nothing but shop words, map to NO_MATCH; a null brand is no hindrance. An empty list maps everything to NO_MATCH.
     Entries that read the same: the least id counts. mined: types of the list, their other names and filler are mined from the list
-    and the pairs before; else only the built-in ones count. A list beyond max_entries goes in shards by the entry's name; the
-    phrases are then mined from the first of them, names of types being few.
+    and the pairs before, from all of both; else only the built-in ones count. A list beyond max_entries goes in shards by the
+    entry's line, each with the brands of all; the answers are those of one list.
     """
     sc = df.sparkSession.sparkContext
     pairs = df.select(F.col(brand).alias("brand"), F.col(name).alias("name")).distinct()
     known = reference.select(F.col(ref_id).alias("i"), F.col(ref_brand).alias("b"), F.col(ref_name).alias("n")).where("i is not null").distinct()
     shards = max(1, -(-known.count() // max_entries))
     if shards > 1:
+        known = cut(known)
+        vocabulary = mine_vocabulary(known.select(F.col("b").alias("brand"), F.col("n").alias("name")), pairs, max_entries=max_entries) if mined else SEED
+        told = sc.broadcast(vocabulary)
+
         # entries of one line belong together: they decide between themselves
         def lined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b.assign(line=[compact(" ".join(read(x, y).rest)) for x, y in zip(b["b"], b["n"])])
+                got = [read(x, y, told.value) for x, y in zip(b["b"], b["n"])]
+                yield b.assign(line=[compact(" ".join(g.rest)) for g in got], key=[compact(g.brand) for g in got])
 
-        known = cut(known.mapInPandas(lined, f"i {dict(known.dtypes)['i']}, b string, n string, line string").withColumn("shard", F.pmod(F.xxhash64("line"), F.lit(shards))))
+        known = cut(known.mapInPandas(lined, f"i {dict(known.dtypes)['i']}, b string, n string, line string, key string").withColumn("shard", F.pmod(F.xxhash64("line"), F.lit(shards))))
+        brands = [r[0] for r in known.where("line <> ''").select("key").distinct().collect()]
     part = lambda k: [tuple(r) for r in (known.where(F.col("shard") == k) if shards > 1 else known).select("i", "b", "n").collect()]
-    first = part(0)
-    vocabulary = mine_vocabulary([e[1:] for e in first], pairs) if mined and first else SEED
-    brands = [r[0] for r in known.select("b").distinct().limit(max_entries).collect()] if shards > 1 else []
+    if shards == 1:
+        first, brands = part(0), []
+        vocabulary = mine_vocabulary([e[1:] for e in first], pairs) if mined and first else SEED
     out = None
     for k in range(shards):
         # built once here; a worker process reads it once
-        shared = sc.broadcast(Matcher(part(k) if k else first, vocabulary, [compact(fold_brand(b)) for b in brands]))
+        shared = sc.broadcast(Matcher(part(k) if shards > 1 else first, vocabulary, brands))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:

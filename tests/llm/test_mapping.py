@@ -82,6 +82,32 @@ def test_an_invented_trade_is_mined(spark):
         assert right >= 0.9 and wrong <= 0.02
 
 
+
+def test_a_list_in_shards_is_mined_whole_and_answers_as_one(spark):
+    from corvina.llm.vocabulary import mine_vocabulary
+
+    entries, typed = trade()
+    # one line of two types: without a type it is neither, wherever its entries are
+    entries += [(900, "tikar", "bolon dravi kabin valiz"), (901, "tikar", "bolon dravi sirt cantasi"), (902, None, "melsu karti pasaport kilifi"), (903, "tikar", "x")]
+    typed += [("tikar", "bolon dravi", NO_MATCH), ("tikar", "bolon dravi backpack", 901), (None, "melsu karti document sleeve", 902), (None, None, NO_MATCH)]
+    pairs = spark.createDataFrame(sorted({t[:2] for t in typed}, key=str), "brand string, name string")
+    listed = spark.createDataFrame([e[1:] for e in entries], "brand string, name string")
+    whole = mine_vocabulary([e[1:] for e in entries], pairs)
+    for max_entries in (1000, 60, 7):
+        v = mine_vocabulary(listed, pairs, max_entries=max_entries)
+        assert (v.types, v.filler) == (whole.types, whole.filler) and set(TRADE.values()) <= set(v.types)
+    df, ref = spark.createDataFrame(typed, "b string, n string, want long"), spark.createDataFrame(entries, "ref_id long, brand string, name string")
+    got = [{(r.brand, r.name): r.ref_id for r in map_to_list(df, "b", "n", ref, "ref_id", "brand", "name", max_entries=n).collect()} for n in (1000, 60)]
+    assert got[0] == got[1] and got[0]["tikar", "bolon dravi"] == NO_MATCH and got[0]["tikar", "bolon dravi backpack"] == 901
+
+
+def test_an_empty_list_adds_nothing_to_the_vocabulary(spark):
+    from corvina.llm import vocabulary
+
+    empty = spark.createDataFrame([], "brand string, name string")
+    assert all(vocabulary.mine_vocabulary(empty, empty, max_entries=n).types == vocabulary.SEED.types for n in (-1, 10))
+
+
 def test_all_lines_that_can_be_meant_are_compared():
     # 'terpolo' shares one letter triple with 'teprolo', but two with each of sixty other lines
     others = [(i, "Kozen", f"{a}{b}polo Serum") for i, (a, b) in enumerate((a, b) for a in "KLMNBS" for b in "aeiouyzvnd")]
