@@ -29,7 +29,7 @@ from corvina.session import cut, shuffled
 PARTS = ["kind", "size", "spf", "strength", "shade", "plus"]
 #: Listings and lines of one brand that one group takes.
 LISTINGS_A_GROUP, LINES_A_GROUP = 20_000, 50_000
-#: Entries of the reference list from which the names of types are mined.
+#: Entries of the reference list that are held at once while names of types are mined.
 MAX_ENTRIES = 100_000
 LONE_WORDS = 2
 #: Texts count as slips of each other if one edit leaves at least this share of the longer one's letters.
@@ -157,9 +157,8 @@ def same_items(df: DataFrame, key: str, brand: str, name: str, reference: DataFr
     unique = cut(unique)
     vocabulary = SEED
     if reference is not None:
-        # names of types are few, so they are mined from so many entries at most; lines are mined from all
-        some = [tuple(r) for r in reference.select(brand, name).distinct().limit(MAX_ENTRIES).collect()]
-        vocabulary = mine_vocabulary(some, unique.select(F.col("b").alias("brand"), F.col("n").alias("name")).distinct())
+        entries = reference.select(F.col(brand).alias("brand"), F.col(name).alias("name")).distinct()
+        vocabulary = mine_vocabulary(entries, unique.select(F.col("b").alias("brand"), F.col("n").alias("name")).distinct(), max_entries=MAX_ENTRIES)
     rows = cut(read_listings(unique, "k", "b", "n", vocabulary))
     trusted = rows.where("line is not null").select("brand_key", "line", F.col("line_words").alias("words"), F.lit(1).alias("witnesses"))
     if reference is not None:

@@ -53,6 +53,25 @@ def test_reference_phrases_and_small_deals(spark, monkeypatch):
     assert got[2] == got[5] == 1 and got[7] == 6 and got[10] == 9 and got[3] == 3 and got[4] == 4
 
 
+
+def test_a_large_reference_is_mined_whole(spark, monkeypatch):
+    from test_mapping import TRADE, trade
+
+    from corvina.llm import catalogue
+
+    entries, typed = trade(12)
+    ref = spark.createDataFrame([e[1:] for e in entries], "b string, n string")
+    df = spark.createDataFrame([(i, b, n) for i, (b, n, _) in enumerate(typed) if b], "id long, b string, n string")
+    groups = {}
+    for most in (1000, 5):
+        monkeypatch.setattr(catalogue, "MAX_ENTRIES", most)
+        groups[most] = {r.id: r.group_id for r in same_items(df, "id", "b", "n", ref).collect()}
+    assert groups[5] == groups[1000]
+    # a type's other name, which only a list of all entries tells, meets the type itself
+    both = [(i, i + 1) for i, (b, n, ref_id) in enumerate(typed[:-1]) if typed[i + 1][2] == ref_id and typed[i + 1][1].startswith(tuple(TRADE.values()))]
+    assert len(both) > 60 and sum(groups[5][i] == groups[5][j] for i, j in both) > 0.9 * len(both)
+
+
 def test_near_keys_stay_in_their_block(spark):
     df = spark.createDataFrame([("x", "abcdef"), ("x", "abcdf"), ("y", "abcdef"), ("y", "abdcefgh"), (None, "abcdef"), (None, "abcde")], "block string, key string")
     got = {(r.block, r.a, r.b) for r in near_keys(df, ["block"]).collect()}
